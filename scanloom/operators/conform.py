@@ -122,34 +122,41 @@ def conform(findings: DataFrame, tool: Tool) -> DataFrame:
     return findings.select("scan_id", F.lit(tool.rank).alias("tool_rank"), "pos", *fields)
 
 
-def tool_issues(reports: DataFrame, name: str, mode: str = "strict") -> DataFrame:
-    """Issues of one tool. The filter on the tool reaches the scan before any JSON is parsed."""
+Reports = DataFrame | dict[str, DataFrame]
+
+
+def reports_of(reports: Reports, name: str) -> DataFrame:
+    """One tool's reports, from a table of all (the filter reaches the scan) or a table per tool."""
+    return reports[name] if isinstance(reports, dict) else reports.filter(F.col("tool") == name)
+
+
+def tool_issues(reports: Reports, name: str, mode: str = "strict") -> DataFrame:
+    """Issues of one tool; reports of other tools are dropped before any JSON is parsed."""
     tool = REGISTRY[name]
-    mine = reports.filter(F.col("tool") == name)
-    return conform(src.explode_findings(src.read_reports(mine, tool.dialect, mode)), tool)
+    read = src.read_reports(reports_of(reports, name), tool.dialect, mode)
+    return conform(src.explode_findings(read), tool)
 
 
-def all_issues(reports: DataFrame, mode: str = "strict", tools: list[str] | None = None) -> DataFrame:
+def all_issues(reports: Reports, mode: str = "strict", tools: list[str] | None = None) -> DataFrame:
     """Union of every tool's issues. Overlaps between tools are kept, as reported."""
     return src.union_all([tool_issues(reports, name, mode) for name in tools or REGISTRY])
 
 
-def report_status(reports: DataFrame, mode: str = "strict", tools: list[str] | None = None) -> DataFrame:
+def report_status(reports: Reports, mode: str = "strict", tools: list[str] | None = None) -> DataFrame:
     """Outcome of every delivered report."""
     frames = []
     for name in tools or REGISTRY:
-        read = src.read_reports(reports.filter(F.col("tool") == name), REGISTRY[name].dialect, mode)
-        frames.append(
-            read.select(
-                "scan_id",
-                "tool",
-                F.lit(REGISTRY[name].rank).alias("tool_rank"),
-                "status",
-                "reason",
-                "n_unusable",
-                F.when(F.col("findings").isNull(), 0).otherwise(F.size("findings")).alias("n_findings"),
-            )
+        read = src.read_reports(reports_of(reports, name), REGISTRY[name].dialect, mode)
+        outcome = read.select(
+            "scan_id",
+            "tool",
+            F.lit(REGISTRY[name].rank).alias("tool_rank"),
+            "status",
+            "reason",
+            "n_unusable",
+            F.when(F.col("findings").isNull(), 0).otherwise(F.size("findings")).alias("n_findings"),
         )
+        frames.append(src.sealed(outcome))
     return src.union_all(frames)
 
 

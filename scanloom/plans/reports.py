@@ -22,8 +22,7 @@ def flat(issues):
 
 
 def findings(spark, d, tool):
-    mine = views.reports(spark, d).filter(F.col("tool") == tool)
-    return src.explode_findings(src.read_reports(mine, conform.REGISTRY[tool].dialect))
+    return src.explode_findings(src.read_reports(views.reports(spark, d)[tool], conform.REGISTRY[tool].dialect))
 
 
 # --- sources -----------------------------------------------------------------------------------
@@ -369,7 +368,7 @@ def x1(spark, d):
     )
     conform.register("llm", notes)(normalise)
     try:
-        both = views.reports(spark, d).unionByName(extra)
+        both = src.union_all([views.reports(spark, d)["gitleaks"], extra])
         issues = conform.all_issues(both, tools=["gitleaks", "llm"])
     finally:
         conform.unregister("llm")
@@ -513,7 +512,7 @@ SELECT tool, status, reason, count(*) AS n_reports, sum(n_findings)::BIGINT AS n
 FROM judged WHERE failed GROUP BY tool, status, reason"""),
 )
 def e9(spark, d):
-    failed = views.reports(spark, d).filter(F.col("exit_code") != 0)
+    failed = {tool: r.filter(F.col("exit_code") != 0) for tool, r in views.reports(spark, d).items()}
     return (
         conform.report_status(failed)
         .groupBy("tool", "status", "reason")

@@ -237,5 +237,15 @@ def explode_findings(read: DataFrame) -> DataFrame:
     return rows.filter(F.col("pos").isNotNull())
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """Same rows, with a generator on top that filters cannot be pushed through.
+
+    A filter on a column derived from parsed JSON would otherwise be rewritten in terms of the
+    parse and pushed to the scan, which parses every report again for each mention.
+    """
+    row = F.array(F.struct(*df.columns))
+    return df.select(F.inline_outer(row))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

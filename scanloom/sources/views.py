@@ -172,12 +172,10 @@ def tool_reports(orders: DataFrame, tool: str) -> DataFrame:
     return rows.drop("o_orderstatus", "o_orderpriority")
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """All reports; a filter on the tool leaves only that tool's branch of the union."""
-    from scanloom.sources.reports import union_all
-
+def reports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Reports of every order, one frame per tool."""
     orders = table(spark, folder, "orders")
-    return union_all([tool_reports(orders, tool) for tool in TOOLS])
+    return {tool: tool_reports(orders, tool) for tool in TOOLS}
 
 
 def requested_tools(spark: SparkSession, folder: str) -> DataFrame:
