@@ -44,7 +44,7 @@ class Dialect:
     bad_json_is_error: bool = True
 
 
-def _wrapped(text: Column, document: str) -> Column:
+def parse_document(text: Column, document: str) -> Column:
     """Parse any JSON value below one key, so that bad text is told apart from an empty document."""
     return F.from_json(
         F.concat(F.lit('{"r":'), text, F.lit("}")), f"r {document}, _corrupt_record STRING", JSON_OPTIONS
@@ -82,7 +82,7 @@ SECRETS = Dialect(
 
 def _policy_lenient(text: Column) -> Column:
     """Element by element: whatever has no list of failed checks is skipped."""
-    elements = _wrapped(text, "ARRAY<STRING>")["r"]
+    elements = parse_document(text, "ARRAY<STRING>")["r"]
 
     def failed(element: Column) -> Column:
         results = F.from_json(element, "results STRING")["results"]
@@ -138,7 +138,7 @@ def _with_target(results: Column) -> Column:
 
 def _package_lenient(text: Column) -> Column:
     """Results or vulnerabilities that are not lists count as absent."""
-    results = _wrapped(text, "STRUCT<Results: STRING>")["r"]["Results"]
+    results = parse_document(text, "STRUCT<Results: STRING>")["r"]["Results"]
     as_list = F.when(F.ltrim(results).startswith("["), results)
     rows = F.from_json(as_list, "ARRAY<STRUCT<Target: STRING, Vulnerabilities: STRING>>", JSON_OPTIONS)
     return _with_target(
@@ -184,13 +184,13 @@ def read_reports(reports: DataFrame, dialect: Dialect, mode: str = "strict") ->
     keys = ["scan_id", "tool", "scan_root"]
     judged = reports.select(*keys, "stdout", early.alias("early"))
     parsed = judged.select(
-        "*", _wrapped(F.when(F.col("early").isNull(), dialect.body(F.col("stdout"))), dialect.document).alias("parsed")
+        "*", parse_document(F.when(F.col("early").isNull(), dialect.body(F.col("stdout"))), dialect.document).alias("parsed")
     )
 
     doc = F.col("parsed")["r"]
     corrupt = F.col("parsed")["_corrupt_record"].isNotNull()
     # Only documents that did not fit their type are looked at a second time.
-    untyped = _wrapped(F.col("stdout"), "STRING")
+    untyped = parse_document(F.col("stdout"), "STRING")
     late = F.when(F.col("early").isNotNull(), F.col("early"))
     late = late.when(corrupt & untyped["_corrupt_record"].isNotNull(), "bad_json")
     late = late.when(corrupt & untyped["r"].isNull(), "null_document")

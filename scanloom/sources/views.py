@@ -200,3 +200,105 @@ def scans(spark: SparkSession, folder: str) -> DataFrame:
         F.when(status == "F", "completed").when(status == "P", "failed").otherwise("running").alias("status"),
         F.col("o_orderdate").alias("created_at"),
     )
+
+
+# --- jobs ----------------------------------------------------------------------------------------
+
+
+def job_messages(events: DataFrame) -> DataFrame:
+    """One message per event; some without credentials, some with odd URLs, some unreadable."""
+    key, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    number = key.cast("string")
+    url = (
+        F.when(key % 5 == 0, F.concat(F.lit("https://github.com/org"), user.cast("string"), F.lit("/repo"), number, F.lit(".git")))
+        .when(key % 5 == 1, F.concat(F.lit("git@github.com:org/repo"), number))
+        .when(key % 5 == 2, F.lit("https://github.com/org/my.repo"))
+        .when(key % 5 == 3, F.lit("https://example.com/org/repo"))
+        .when(kind == "click", F.lit(""))
+    )
+    ref = F.when(user % 30 == 7, F.lit("inst-7")).otherwise((1000 + user % 30).cast("string"))
+    body = F.to_json(
+        F.struct(
+            scan_id(key).alias("scanId"),
+            (user * 11).cast("int").alias("repoId"),
+            url.alias("repoUrl"),
+            F.lit("main").alias("branch"),
+            F.when(kind == "click", _text("tok", user)).when(kind == "error", "").alias("token"),
+            F.when(kind == "view", ref).when(kind == "error", "").alias("installationId"),
+        )
+    )
+    text = F.when(F.col("value") > 150, F.left(body, F.lit(20))).when(F.col("value") > 100, "null").otherwise(body)
+    return events.select("event_id", F.col("ts").alias("arrival"), text.alias("body"))
+
+
+def jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed jobs, unreadable ones flagged."""
+    from scanloom.sources.jobs import parse_jobs
+
+    return parse_jobs(job_messages(table(spark, folder, "events")))
+
+
+def repos(spark: SparkSession, folder: str) -> DataFrame:
+    key, nation = F.col("c_custkey").cast("int"), F.col("c_nationkey")
+    return table(spark, folder, "customer").select(
+        key.alias("id"),
+        _text("gh-", key).alias("github_id"),
+        F.col("c_name").alias("name"),
+        F.concat(F.lit("org/"), F.col("c_name")).alias("full_name"),
+        (key % 50).alias("user_id"),
+        F.when(key % 7 != 0, nation % 5).alias("team_id"),
+        F.when(nation % 5 != 0, nation).alias("installation_id"),
+    )
+
+
+def installations(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, folder, "nation").select(
+        key.alias("id"),
+        (key % 50).alias("user_id"),
+        F.when(key == 7, "inst-7").otherwise((1000 + key).cast("string")).alias("installation_id"),
+        F.col("n_name").alias("account_login"),
+        F.when(key % 6 != 0, _text("cached", key)).alias("access_token"),
+        F.timestamp_add("MINUTE", key, now()).alias("token_expires_at"),
+        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+    )
+
+
+# --- files and downloads -------------------------------------------------------------------------
+
+SKIP_DIRS = ["node_modules", ".git"]
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("doc_id")
+    middle = pick(["", "node_modules/", ".git/", ".github/", "sub/node_modules/", "", "_x/", "", "", ""], key % 10)
+    name = F.when(key % 10 == 5, "node_modules").when(key % 10 == 7, ".env").otherwise(
+        F.concat(key.cast("string"), F.lit(".txt"))
+    )
+    return table(spark, folder, "documents").select(
+        "doc_id", F.concat("source", F.lit("/"), middle, "lang", F.lit("/"), name).alias("path"), "text", "lang"
+    )
+
+
+def payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Downloads: web pages, archives, empty and missing files, sizes up to 6 GiB."""
+
+    def of(rows: DataFrame, kind: str, key: str, body: str) -> DataFrame:
+        k = F.col(key)
+        content = (
+            F.when(k % 5 == 0, F.encode(body, "UTF-8"))
+            .when(k % 5 == 1, F.concat(F.lit(b"PK"), F.encode(body, "UTF-8")))
+            .when(k % 5 == 2, F.lit(b""))
+            .when(k % 5 == 4, F.lit(b"PK\x03\x04"))
+        )
+        declared = F.when(k % 5 == 4, (k % 7) * F.lit(1024 * 1024 * 1024) + F.lit(4))
+        return rows.select(
+            F.lit(kind).alias("kind"),
+            k.alias("id"),
+            F.get(F.array(F.lit(" 200\n"), F.lit("204"), F.lit("302"), F.lit("404")), (k % 4).cast("int")).alias("http_code"),
+            F.coalesce(declared, F.octet_length(content).cast("bigint")).alias("size"),
+            content.alias("content"),
+        )
+
+    pages = of(table(spark, folder, "pages"), "page", "page_id", "html")
+    return pages.unionByName(of(table(spark, folder, "documents"), "document", "doc_id", "text"))
