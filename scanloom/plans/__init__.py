@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from scanloom.plans import jobs, reports  # noqa: F401
+from scanloom.plans import integrity, jobs, reports  # noqa: F401
 from scanloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -302,3 +302,118 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = of(table(spark, folder, "pages"), "page", "page_id", "html")
     return pages.unionByName(of(table(spark, folder, "documents"), "document", "doc_id", "text"))
+
+
+# --- application tables ----------------------------------------------------------------------------
+
+
+def teams(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+
+
+def users(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("id"),
+        F.col("s_name").alias("name"),
+        F.concat(F.lower("s_name"), F.lit("@example.com")).alias("email"),
+    )
+
+
+def team_members(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("int")
+    return table(spark, folder, "supplier").select(
+        key.alias("id"),
+        key.alias("user_id"),
+        (F.col("s_nationkey") % 4).alias("team_id"),
+        F.when(key % 3 == 0, "owner").otherwise("member").alias("role"),
+    )
+
+
+def activity_logs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(
+        F.col("event_id").cast("int").alias("id"),
+        (F.col("user_id") % 5).cast("int").alias("team_id"),
+        F.when(F.col("event_type") != "view", F.col("user_id").cast("int")).alias("user_id"),
+        F.upper("event_type").alias("action"),
+        F.col("ts").alias("timestamp"),
+    )
+
+
+def invitations(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey").cast("int")
+    return table(spark, folder, "customer").select(
+        key.alias("id"),
+        (F.col("c_nationkey") % 5).alias("team_id"),
+        F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
+        (key % 50).alias("invited_by"),
+        F.when(F.col("c_acctbal") < 0, "expired").otherwise("pending").alias("status"),
+    )
+
+
+ISSUE_STATUS = {"N": "open", "A": "acknowledged", "R": "fixed"}
+
+
+def stored_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issue rows as they stand in the store."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    flag = F.col("l_returnflag")
+    words = ["critical", "high", "medium", "low", "info", "unknown"]
+    return table(spark, folder, "lineitem").select(
+        scan_id(F.col("l_orderkey")).alias("scan_id"),
+        pick([*TOOLS, "other"], F.col("l_linenumber") % 6).alias("tool"),
+        pick(words, F.col("l_quantity").cast("int") % 6).alias("severity"),
+        F.when(part % 97 != 0, _text("rule.", part)).alias("title"),
+        F.when(part % 89 != 0, _text("finding ", supplier)).alias("description"),
+        F.concat(F.lit("src/"), supplier.cast("string"), F.lit(".txt")).alias("file_path"),
+        F.col("l_quantity").cast("int").alias("line_start"),
+        F.when(flag == "N", "open").when(flag == "A", "acknowledged").when(F.col("l_linestatus") == "F", "fixed")
+        .otherwise("wontfix").alias("status"),
+        F.when(flag == "R", F.timestamp_add("DAY", F.col("l_linenumber"), F.col("l_shipdate"))).alias("resolved_at"),
+        F.when(flag == "R", (supplier + 5).cast("int")).alias("resolved_by"),
+        F.col("l_shipdate").alias("created_at"),
+    )
+
+
+def stored_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Scan rows with their keys and references."""
+    customer = F.col("repo_id")
+    rows = scans(spark, folder)
+    return rows.select(
+        F.substring_index("scan_id", "_", -1).cast("int").alias("id"),
+        *rows.columns,
+        F.when(customer % 3 != 0, customer % 150).alias("user_id"),
+        F.when(customer % 4 != 0, customer % 7).alias("team_id"),
+    )
+
+
+def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """One reviewed function per document; unlabelled ones are unmarked."""
+    key = F.col("doc_id")
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return docs.select(
+        key.cast("int").alias("id"),
+        F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("repo_id"),
+        F.concat(F.lit("src/"), F.col("lang"), F.lit("/"), (key % 40).cast("string"), F.lit(".py")).alias("file_path"),
+        F.when(F.col("lang") != "de", "main").alias("branch"),
+        F.when(F.col("lang") == "fr", F.sha2("text", 256)).otherwise(F.sha1(F.encode("text", "UTF-8"))).alias("commit_sha"),
+        _text("fn", key).alias("function_name"),
+        (F.col("n_chars") % 9).cast("int").alias("line_start"),
+        (F.col("n_chars") % 9 + 3).cast("int").alias("line_end"),
+        F.sha2("text", 256).alias("content_hash"),
+        F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "dirty").otherwise("unmarked").alias("status"),
+    )
+
+
+def comments(spark: SparkSession, folder: str) -> DataFrame:
+    """One review comment per conversation turn."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    written = F.timestamp_add("HOUR", (conv % 500).cast("int"), F.to_timestamp_ntz(F.lit("2023-12-01 00:00:00")))
+    return table(spark, folder, "conversations").select(
+        (conv * 100 + turn).cast("int").alias("id"),
+        (conv % 20).cast("int").alias("repo_id"),
+        F.concat(F.lit("src/"), (conv % 40).cast("string"), F.lit(".py")).alias("file_path"),
+        F.length("text").alias("start_line"),
+        (conv % 50).cast("int").alias("user_id"),
+        (F.col("role") == "assistant").alias("resolved"),
+        written.alias("created_at"),
+    )
