@@ -17,3 +17,9 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, hig
     """
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
     return reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts).load()
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files, be it one file or a folder of them."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
