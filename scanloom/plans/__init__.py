@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from scanloom.plans import detect, integrity, jobs, reports, streams  # noqa: F401
+from scanloom.plans import analytics, detect, integrity, jobs, reports, streams  # noqa: F401
 from scanloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -417,3 +417,84 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("role") == "assistant").alias("resolved"),
         written.alias("created_at"),
     )
+
+
+def usage_events(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").cast("int").alias("user_id"),
+        (F.col("user_id") % 5).cast("int").alias("team_id"),
+        (F.col("event_id") % 97).cast("int").alias("total_tokens"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def quality_gates(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey").cast("int")
+    return table(spark, folder, "customer").select(
+        key.alias("repo_id"),
+        (F.col("c_mktsegment") != "BUILDING").alias("enabled"),
+        (key % 5 == 0).alias("require_all_clean"),
+        (key % 3).alias("max_critical_issues"),
+        F.lit(1).alias("max_high_issues"),
+        F.lit(40).alias("min_clean_percentage"),
+        (key % 2 == 0).alias("block_on_unresolved_comments"),
+    )
+
+
+def scan_quotas(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    reset = F.timestamp_add("MONTH", key % 12, F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")))
+    return table(spark, folder, "nation").select(
+        key.alias("team_id"), pick(["free", "plus", "pro"], key % 3).alias("tier"), reset.alias("reset_date")
+    )
+
+
+def status_changes(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("event_id")
+    words = ["clean", "dirty", "unmarked"]
+    return table(spark, folder, "events").select(
+        key.alias("id"),
+        (F.col("user_id") % 20).cast("int").alias("repo_id"),
+        _text("fn", F.col("user_id")).alias("function_name"),
+        F.when(F.col("event_type") != "signup", pick(words, key % 3)).alias("previous_status"),
+        pick(words, (key + F.length("event_type")) % 3).alias("new_status"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def scan_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    started = F.when(status != "O", F.timestamp_add("SECOND", (key % 600).cast("int"), F.col("o_orderdate")))
+    progress = F.to_json(
+        F.struct(
+            (key % 50).cast("int").alias("filesProcessed"),
+            F.lit(50).alias("totalFiles"),
+            (key % 7).cast("int").alias("functionsDetected"),
+            F.when(status != "F", _text("src/", key)).alias("currentFile"),
+        )
+    )
+    return table(spark, folder, "orders").select(
+        F.when(status == "O", "queued").when(status == "P", "running").otherwise("completed").alias("status"),
+        F.when(status != "O", progress).alias("progress"),
+        F.col("o_orderdate").alias("created_at"),
+        started.alias("started_at"),
+        F.when(status == "F", F.timestamp_add("SECOND", (key % 900).cast("int"), started)).alias("completed_at"),
+    )
+
+
+def webhook_events(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(
+        F.col("event_type").alias("source"),
+        F.col("props").alias("payload"),
+        pick(["success", "failure", "pending", "success"], F.col("event_id") % 4).alias("status"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def api_keys(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("int")
+    return table(spark, folder, "supplier").select(
+        key.alias("id"),
+        F.when(F.col("s_acctbal") >= 0, F.timestamp_add("MINUTE", F.col("s_nationkey") - 12, now())).alias("expires_at"),
+    )
