@@ -55,8 +55,9 @@ def mask_secret(secret: Column) -> Column:
 
 
 def _cut_first(text: Column, part: Column) -> Column:
-    literal = F.concat(F.lit(r"\Q"), part, F.lit(r"\E"))
-    return F.array_join(F.split(text, literal, 2), "")
+    # The whole text when the part is absent.
+    before = F.call_function("substring_index", text, part, F.lit(1))
+    return F.concat(before, F.substr(text, F.length(before) + F.length(part) + 1))
 
 
 def strip_root(path: Column, root: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,19 +214,22 @@ def sink_rows(issues: DataFrame, created_at: Column) -> DataFrame:
 REQUIRED = ["scan_id", "tool", "severity", "title", "description", "file_path", "line_start"]
 
 
+def failure_flags() -> list[Column]:
+    """Per-scan aggregates: an issue without a path, an issue the issue table would refuse."""
+    refused = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in REQUIRED])
+    return [
+        F.bool_or(F.col("file_path").isNull()).alias("no_path"),
+        F.bool_or(refused).alias("null_field"),
+    ]
+
+
 def scan_failures(issues: DataFrame, scan_ids: DataFrame) -> DataFrame:
     """Scans that an unusable issue fails as a whole, with the stage it stops them at.
 
     ``path``: an issue without a file path, before the counters are stored.
     ``insert``: a required column is null or the scan row is unknown, after the counters are stored.
     """
-    nulls = [F.col(name).isNull() for name in REQUIRED]
-    any_null = nulls[0]
-    for test in nulls[1:]:
-        any_null = any_null | test
-    flags = issues.groupBy("scan_id").agg(
-        F.bool_or(F.col("file_path").isNull()).alias("no_path"), F.bool_or(any_null).alias("null_field")
-    )
+    flags = issues.groupBy("scan_id").agg(*failure_flags())
     known = scan_ids.select("scan_id", F.lit(True).alias("known"))
     return (
         flags.join(known, "scan_id", "left")

@@ -10,7 +10,7 @@ from scanloom.constants import SEVERITIES
 COUNTERS = [f"{s}_count" for s in SEVERITIES]
 
 
-def _counters():
+def counters():
     return [F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in SEVERITIES]
 
 
@@ -19,13 +19,13 @@ def scan_summary(scans: DataFrame, issues: DataFrame) -> DataFrame:
 
     Counting is partial before the shuffle, so a scan with very many issues sends a handful of rows.
     """
-    counts = issues.groupBy("scan_id").agg(*_counters(), F.count("*").alias("total_issues"))
+    counts = issues.groupBy("scan_id").agg(*counters(), F.count("*").alias("total_issues"))
     return scans.select("scan_id").join(counts, "scan_id", "left").na.fill(0, [*COUNTERS, "total_issues"])
 
 
 def tool_breakdown(requested: DataFrame, issues: DataFrame) -> DataFrame:
     """The same counters per (scan, requested tool), zeros for tools that found or returned nothing."""
-    counts = issues.groupBy("scan_id", "tool").agg(*_counters(), F.count("*").alias("total_issues"))
+    counts = issues.groupBy("scan_id", "tool").agg(*counters(), F.count("*").alias("total_issues"))
     runs = requested.select("scan_id", F.explode("tools").alias("tool"))
     return runs.join(counts, ["scan_id", "tool"], "left").na.fill(0, [*COUNTERS, "total_issues"])
 

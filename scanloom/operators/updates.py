@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.constants import SEVERITIES
-from scanloom.operators.summary import COUNTERS
+from scanloom.operators.conform import failure_flags
+from scanloom.operators.summary import COUNTERS, counters
 
 
 def newest(updates: DataFrame, key: str, order_by: str) -> DataFrame:
@@ -44,15 +44,18 @@ FAILED = ["status", "completed_at"]
 
 def completion(summary: DataFrame, requested: DataFrame, duration: Column, at: Column) -> DataFrame:
     """Update rows of finished scans: status, tools, duration, six counters, time."""
-    return summary.join(requested, "scan_id").select(
-        "scan_id",
-        F.lit("completed").alias("status"),
+    return summary.join(requested, "scan_id").select("scan_id", *_closing_columns("completed", duration, at))
+
+
+def _closing_columns(status: Column | str, duration: Column, at: Column) -> list[Column]:
+    return [
+        (F.lit(status) if isinstance(status, str) else status).alias("status"),
         F.coalesce("tools", F.array().cast("array<string>")).alias("tools_used"),
         duration.cast("int").alias("scan_duration"),
         F.col("total_issues").cast("int").alias("total_issues"),
-        *[F.col(f"{s}_count").cast("int").alias(f"{s}_count") for s in SEVERITIES],
+        *[F.col(c).cast("int").alias(c) for c in COUNTERS],
         at.alias("completed_at"),
-    )
+    ]
 
 
 def failure(scan_ids: DataFrame, at: Column) -> DataFrame:
@@ -60,15 +63,34 @@ def failure(scan_ids: DataFrame, at: Column) -> DataFrame:
     return scan_ids.select("scan_id", F.lit("failed").alias("status"), at.alias("completed_at"))
 
 
-def close_scans(scans: DataFrame, done: DataFrame, failures: DataFrame, at: Column) -> DataFrame:
-    """Scan rows after a run.
+def closing(scans: DataFrame, issues: DataFrame, requested: DataFrame, duration: Column, at: Column) -> DataFrame:
+    """How each scan ends, from one pass over its issues.
 
-    A scan stopped by an issue without a path keeps its old counters; one stopped at the insert has
-    its counters stored already and is failed on top of them.
+    ``failed_at`` is null for completed scans, ``path`` or ``insert`` for failed ones. A scan stopped
+    by an issue without a path stores no counters; one stopped at the insert has stored them.
     """
-    early = failures.filter(F.col("failed_at") == "path").select("scan_id")
-    stored = keyed_update(scans, done.join(early, "scan_id", "left_anti"), "scan_id", COMPLETED)
-    return keyed_update(stored, failure(failures, at), "scan_id", FAILED)
+    facts = issues.groupBy("scan_id").agg(*counters(), F.count("*").alias("total_issues"), *failure_flags())
+    rows = scans.select("scan_id").join(requested.select("scan_id", "tools"), "scan_id").join(facts, "scan_id", "left")
+    rows = rows.na.fill(0, [*COUNTERS, "total_issues"]).na.fill(False, ["no_path", "null_field"])
+    failed_at = F.when(F.col("no_path"), "path").when(F.col("null_field"), "insert")
+    status = F.when(failed_at.isNull(), "completed").otherwise("failed")
+    return rows.select("scan_id", failed_at.alias("failed_at"), *_closing_columns(status, duration, at))
+
+
+def close_scans(scans: DataFrame, closed: DataFrame) -> DataFrame:
+    """Scan rows after a run, ``closed`` as given by ``closing``."""
+    fresh = [F.col(c).alias(f"__new_{c}") for c in COMPLETED]
+    marked = closed.select(
+        "scan_id", F.lit(True).alias("__hit"), F.coalesce(F.col("failed_at") != "path", F.lit(True)).alias("__all"), *fresh
+    )
+    joined = scans.join(marked, "scan_id", "left")
+    touched = {c: F.col("__hit") if c in FAILED else F.col("__hit") & F.col("__all") for c in COMPLETED}
+    return joined.select(
+        *[
+            F.when(touched[c], F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in touched else F.col(c)
+            for c in scans.columns
+        ]
+    )
 
 
 def replace_scans(target: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -405,9 +405,8 @@ FROM counted LEFT JOIN stop USING (scan_id)"""),
 def k23(spark, d):
     issues = conform.all_issues(views.reports(spark, d))
     scans = _scan_rows(spark, d)
-    closed = updates.close_scans(
-        scans, _completion(spark, d, issues), conform.scan_failures(issues, scans), views.now()
-    )
+    closing = updates.closing(scans, issues, views.requested_tools(spark, d), F.length("scan_id") * 1000, views.now())
+    closed = updates.close_scans(scans, closing)
     return closed.select(
         "scan_id", "status", *[F.col(c).cast("bigint").alias(c) for c in ("total_issues", "critical_count")]
     )

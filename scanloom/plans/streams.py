@@ -71,8 +71,7 @@ counted AS (SELECT r.scan_id, {COUNTERS} FROM runs r LEFT JOIN iss USING (scan_i
 stop AS (SELECT scan_id, bool_or(file_path IS NULL) AS no_path,
   bool_or(file_path IS NULL OR title IS NULL OR description IS NULL) AS bad FROM iss GROUP BY scan_id)
 SELECT scan_id, CASE WHEN coalesce(bad, false) THEN 'failed' ELSE 'completed' END AS status,
-  CASE WHEN NOT coalesce(no_path, false) THEN total_issues END AS total_issues,
-  CASE WHEN NOT coalesce(no_path, false) THEN high_count END AS high_count
+  CASE WHEN bad THEN CASE WHEN no_path THEN 'path' ELSE 'insert' END END AS failed_at, total_issues, high_count
 FROM counted LEFT JOIN stop USING (scan_id)"""),
 )
 def t4(spark, d):
@@ -82,5 +81,5 @@ def t4(spark, d):
 
     closed = js.read_output(spark, _run(spark, d, reports_for), js.SCAN_UPDATES)
     return closed.select(
-        "scan_id", "status", *[F.col(c).cast("bigint").alias(c) for c in ("total_issues", "high_count")]
+        "scan_id", "status", "failed_at", *[F.col(c).cast("bigint").alias(c) for c in ("total_issues", "high_count")]
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from scanloom.operators import conform, credentials, summary, updates
+from scanloom.operators import conform, credentials, updates
 from scanloom.sources import jobs as job_source
 
 MESSAGE = "message_id BIGINT, arrival TIMESTAMP, body STRING"
@@ -116,19 +116,14 @@ class JobRun:
             "scan_id STRING, tool STRING, severity STRING, title STRING, description STRING, file_path STRING,"
             " line_start INT"
         ).parquet(f"{self.out}/{ISSUES}/batch={batch}")
-        failures = conform.scan_failures(stored, runnable)
         skip = F.array().cast("array<string>") if self.skip_tools is None else self.skip_tools
         requested = runnable.select("scan_id", conform.tools_to_run(skip).alias("tools"))
-        done = updates.completion(summary.scan_summary(runnable, stored), requested, F.lit(0), self.now)
-        # The same rules as for stored scans: no counters when a path is missing, counters but a
-        # failed status when a required field is.
-        stops = done.join(failures, "scan_id", "left")
-        counters = [c for c in done.columns if c.endswith("_count") or c == "total_issues"]
-        closing = stops.withColumn("status", F.when(F.col("failed_at").isNull(), "completed").otherwise("failed"))
-        for c in [*counters, "tools_used", "scan_duration"]:
-            closing = closing.withColumn(c, F.when(F.coalesce(F.col("failed_at") != "path", F.lit(True)), F.col(c)))
-        self._write(closing.drop("failed_at"), SCAN_UPDATES, batch)
-        return failures.select("scan_id", F.concat(F.lit("unusable issue: "), F.col("failed_at")).alias("error"))
+        closed = updates.closing(runnable, stored, requested, F.lit(0), self.now)
+        self._write(closed, SCAN_UPDATES, batch)
+        failed = spark.read.schema("scan_id STRING, failed_at STRING").parquet(f"{self.out}/{SCAN_UPDATES}/batch={batch}")
+        return failed.filter(F.col("failed_at").isNotNull()).select(
+            "scan_id", F.concat(F.lit("unusable issue: "), F.col("failed_at")).alias("error")
+        )
 
     def _write(self, rows: DataFrame, name: str, batch: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.out}/{name}/batch={batch}")
