@@ -41,11 +41,12 @@ def register(name: str, dialect: src.Dialect):
     return add
 
 
-def unregister(name: str) -> None:
-    """Take out the scanner registered last."""
-    if REGISTRY[name].rank != len(REGISTRY) - 1:
-        raise ValueError("only the newest tool can be taken out, ranks of the others stay fixed")
-    del REGISTRY[name]
+def extended(name: str, dialect: src.Dialect, normalise, base: dict[str, Tool] | None = None) -> dict[str, Tool]:
+    """A registry with one more scanner; the shared one stays as it is."""
+    tools = dict(REGISTRY if base is None else base)
+    if name in tools:
+        raise ValueError(f"tool {name!r} is registered already")
+    return {**tools, name: Tool(name, len(tools), dialect, normalise)}
 
 
 def _rule_issue(f: Column) -> dict[str, Column]:
@@ -131,27 +132,33 @@ def reports_of(reports: Reports, name: str) -> DataFrame:
     return reports[name] if isinstance(reports, dict) else reports.filter(F.col("tool") == name)
 
 
-def tool_issues(reports: Reports, name: str, mode: str = "strict") -> DataFrame:
+def tool_issues(
+    reports: Reports, name: str, mode: str = "strict", registry: dict[str, Tool] = REGISTRY
+) -> DataFrame:
     """Issues of one tool; reports of other tools are dropped before any JSON is parsed."""
-    tool = REGISTRY[name]
+    tool = registry[name]
     read = src.read_reports(reports_of(reports, name), tool.dialect, mode)
     return conform(src.explode_findings(read), tool)
 
 
-def all_issues(reports: Reports, mode: str = "strict", tools: list[str] | None = None) -> DataFrame:
+def all_issues(
+    reports: Reports, mode: str = "strict", tools: list[str] | None = None, registry: dict[str, Tool] = REGISTRY
+) -> DataFrame:
     """Union of every tool's issues. Overlaps between tools are kept, as reported."""
-    return src.union_all([tool_issues(reports, name, mode) for name in tools or REGISTRY])
+    return src.union_all([tool_issues(reports, name, mode, registry) for name in tools or registry])
 
 
-def report_status(reports: Reports, mode: str = "strict", tools: list[str] | None = None) -> DataFrame:
+def report_status(
+    reports: Reports, mode: str = "strict", tools: list[str] | None = None, registry: dict[str, Tool] = REGISTRY
+) -> DataFrame:
     """Outcome of every delivered report."""
     frames = []
-    for name in tools or REGISTRY:
-        read = src.read_reports(reports_of(reports, name), REGISTRY[name].dialect, mode)
+    for name in tools or registry:
+        read = src.read_reports(reports_of(reports, name), registry[name].dialect, mode)
         outcome = read.select(
             "scan_id",
             "tool",
-            F.lit(REGISTRY[name].rank).alias("tool_rank"),
+            F.lit(registry[name].rank).alias("tool_rank"),
             "status",
             "reason",
             "n_unusable",
@@ -179,14 +186,14 @@ def run_status(requested: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
-def number_issues(issues: DataFrame) -> DataFrame:
+def number_issues(issues: DataFrame, registry: dict[str, Tool] = REGISTRY) -> DataFrame:
     """Dense ordinal per scan: tools in fixed order, findings in report order.
 
     A finding's place is its report position plus the size of the reports before it. Only those
     sizes (one row per scan) are aggregated and joined back; no scan is ever sorted in one task,
     however many issues it has.
     """
-    ranks = [tool.rank for tool in REGISTRY.values()]
+    ranks = [tool.rank for tool in registry.values()]
     sizes = issues.groupBy("scan_id").agg(
         F.array(*[F.count_if(F.col("tool_rank") < rank) for rank in ranks]).alias("before")
     )

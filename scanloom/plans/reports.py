@@ -366,12 +366,9 @@ def x1(spark, d):
         F.lit(None).cast("string").alias("signal"),
         F.to_json(F.struct(F.array(note).alias("notes"))).alias("stdout"),
     )
-    conform.register("llm", notes)(normalise)
-    try:
-        both = src.union_all([views.reports(spark, d)["gitleaks"], extra])
-        issues = conform.all_issues(both, tools=["gitleaks", "llm"])
-    finally:
-        conform.unregister("llm")
+    both = src.union_all([views.reports(spark, d)["gitleaks"], extra])
+    registry = conform.extended("llm", notes, normalise)
+    issues = conform.all_issues(both, tools=["gitleaks", "llm"], registry=registry)
     return issues.select("scan_id", "pos", "tool", "severity", "title", "description", "file_path", "line_start")
 
 

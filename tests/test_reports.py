@@ -185,4 +185,6 @@ def test_registry_refuses_twins():
     with pytest.raises(ValueError):
         conform.register("trivy", src.PACKAGES)(lambda f: {})
     with pytest.raises(ValueError):
-        conform.unregister("semgrep")
+        conform.extended("semgrep", src.RULES, lambda f: {})
+    assert list(conform.extended("llm", src.RULES, lambda f: {})) == [*conform.REGISTRY, "llm"]
+    assert "llm" not in conform.REGISTRY
