@@ -335,8 +335,10 @@ SELECT 'scan_' || l_orderkey, l_linenumber - l_linenumber, 'llm',
 )
 def x1(spark, d):
     """One more scanner takes a dialect and a normaliser; the rest of the pipeline is unchanged."""
+    note_type = "STRUCT<title: STRING, text: STRING, file: STRING, line: INT, level: STRING>"
     notes = src.Dialect(
-        document="STRUCT<notes: ARRAY<STRUCT<title: STRING, text: STRING, file: STRING, line: INT, level: STRING>>>",
+        document=f"STRUCT<notes: ARRAY<{note_type}>>",
+        finding=note_type,
         findings=lambda doc: doc["notes"],
         unusable=lambda f: f.isNull() | f["level"].isNull(),
     )
@@ -385,6 +387,48 @@ def g1(spark, d):
     return summary.scan_summary(views.scans(spark, d), conform.all_issues(views.reports(spark, d)))
 
 
+def _split_sql(mode):
+    usable = "l_partkey % 97 <> 0" if mode == "quarantine" else (
+        "l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 97 = 0)")
+    return f"""
+WITH iss AS (SELECT 'scan_' || l_orderkey AS scan_id, ['critical', 'critical', 'high', 'medium', 'low'][l_partkey % 5 + 1] AS severity
+  FROM lineitem WHERE {usable})
+SELECT s.scan_id, {COUNTERS} FROM (SELECT 'scan_' || o_orderkey AS scan_id FROM orders) s LEFT JOIN iss USING (scan_id) GROUP BY s.scan_id"""
+
+
+def _split_summary(mode):
+    @query(f"g1_split_reports_{mode}", _split_sql(mode))
+    def run(spark, d):
+        """One finding per row: every line item is a finding of its order's scan."""
+        part = F.col("l_partkey")
+        finding = F.to_json(
+            F.struct(
+                F.lit("rule").alias("check_id"),
+                F.concat(F.lit("src/"), F.col("l_suppkey").cast("string")).alias("path"),
+                F.struct(F.col("l_linenumber").alias("line")).alias("start"),
+                F.struct(F.col("l_linenumber").alias("line")).alias("end"),
+                F.struct(
+                    F.lit("m").alias("message"),
+                    F.when(part % 97 != 0, views.pick(views.RULE_LEVELS, part % 5)).alias("severity"),
+                ).alias("extra"),
+            )
+        )
+        rows = _line(spark, d).select(
+            views.scan_id(F.col("l_orderkey")).alias("scan_id"),
+            F.lit("semgrep").alias("tool"),
+            views.scan_root(F.col("l_orderkey")).alias("scan_root"),
+            F.col("l_linenumber").alias("pos"),
+            finding.alias("finding"),
+        )
+        tool = conform.REGISTRY["semgrep"]
+        issues = conform.conform(src.read_split(rows, tool.dialect, mode), tool)
+        return summary.scan_summary(views.scans(spark, d), issues)
+
+
+_split_summary("strict")
+_split_summary("quarantine")
+
+
 @query(
     "g2_tool_breakdown",
     report_sql(f"""

@@ -27,12 +27,14 @@ JSON_OPTIONS = {
 class Dialect:
     """How one scanner's JSON is read.
 
-    ``findings`` takes the parsed document to an array of findings, ``unusable`` tests one finding,
+    ``document`` and ``finding`` are the types of a whole report and of one finding, ``findings`` takes
+    the parsed document to an array of findings, ``unusable`` tests one finding,
     ``broken`` tests the document around them. ``lenient`` re-reads a document whose types did not
     match, for the dialects that skip odd parts instead of failing.
     """
 
     document: str
+    finding: str
     findings: Callable[[Column], Column]
     unusable: Callable[[Column], Column]
     broken: Callable[[Column], Column] = lambda doc: F.lit(False)
@@ -59,6 +61,7 @@ def _any(array: Column, test: Callable[[Column], Column]) -> Column:
 
 RULES = Dialect(
     document=schemas.RULE_REPORT,
+    finding=schemas.RULE_FINDING,
     findings=lambda doc: doc["results"],
     unusable=lambda f: f.isNull()
     | f["extra"]["severity"].isNull()
@@ -71,6 +74,7 @@ RULES = Dialect(
 
 SECRETS = Dialect(
     document=schemas.SECRET_REPORT,
+    finding=schemas.SECRET_FINDING,
     findings=lambda doc: doc,
     unusable=lambda f: f.isNull() | f["Secret"].isNull(),
     exit_code_counts=False,
@@ -102,6 +106,7 @@ def _as_list(text: Column) -> Column:
 
 POLICIES = Dialect(
     document=schemas.POLICY_REPORT,
+    finding=schemas.POLICY_FINDING,
     findings=lambda doc: F.flatten(
         F.transform(
             doc,
@@ -120,7 +125,8 @@ POLICIES = Dialect(
 
 # --- package advisories ----------------------------------------------------------------------
 
-_PACKAGE_ROW = f"ARRAY<STRUCT<Target: STRING, vuln: {schemas.PACKAGE_FINDING}>>"
+_PACKAGE = f"STRUCT<Target: STRING, vuln: {schemas.PACKAGE_FINDING}>"
+_PACKAGE_ROW = f"ARRAY<{_PACKAGE}>"
 
 
 def _with_target(results: Column) -> Column:
@@ -158,6 +164,7 @@ def _package_lenient(text: Column) -> Column:
 
 PACKAGES = Dialect(
     document=schemas.PACKAGE_REPORT,
+    finding=_PACKAGE,
     findings=lambda doc: _with_target(doc["Results"]),
     unusable=lambda f: f["vuln"].isNull() | f["vuln"]["Severity"].isNull(),
     broken=lambda doc: _any(doc["Results"], lambda r: r.isNull()),
@@ -237,6 +244,27 @@ def explode_findings(read: DataFrame) -> DataFrame:
     return rows.filter(F.col("pos").isNotNull())
 
 
+def read_split(rows: DataFrame, dialect: Dialect, mode: str = "strict") -> DataFrame:
+    """Findings of reports too large for one row: (scan_id, tool, scan_root, pos, finding), one each.
+
+    The rules are those of ``read_reports``. Strict mode has to void a report whose bad finding sits
+    in another row, so the few voided (scan, tool) pairs are anti-joined; a scan with very many
+    findings is never brought together.
+    """
+    if mode not in ("strict", "quarantine"):
+        raise ValueError(f"unknown mode {mode!r}")
+    keys = ["scan_id", "tool", "scan_root", "pos"]
+    parsed = rows.select(*keys, parse_document(F.col("finding"), dialect.finding).alias("parsed"))
+    corrupt = F.col("parsed")["_corrupt_record"].isNotNull() | F.col("parsed").isNull()
+    found = parsed.select(*keys, F.col("parsed")["r"].alias("f"), corrupt.alias("corrupt"))
+    bad = F.col("corrupt") | F.coalesce(dialect.unusable(F.col("f")), F.lit(True))
+    judged = sealed(found.select(*keys, "f", bad.alias("bad")))
+    if mode == "strict":
+        void = judged.filter("bad").select("scan_id", "tool").distinct()
+        return judged.join(void, ["scan_id", "tool"], "left_anti").drop("bad")
+    return judged.filter(~F.col("bad")).drop("bad")
+
+
 def sealed(df: DataFrame) -> DataFrame:
     """Same rows, with a generator on top that filters cannot be pushed through.
 

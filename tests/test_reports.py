@@ -188,3 +188,20 @@ def test_registry_refuses_twins():
         conform.extended("semgrep", src.RULES, lambda f: {})
     assert list(conform.extended("llm", src.RULES, lambda f: {})) == [*conform.REGISTRY, "llm"]
     assert "llm" not in conform.REGISTRY
+
+
+def test_split_reports_follow_the_same_rules(spark):
+    """Row per finding: strict voids the whole report, quarantine the bad findings; a hot scan is fine."""
+    good, bad = json.dumps(RULE), json.dumps(without(RULE, "extra"))
+    texts = [("hot", i, good) for i in range(900)] + [("a", 0, good), ("a", 1, bad), ("b", 0, "nope"), ("b", 1, good), ("c", 0, good), ("d", 0, None)]
+    rows = spark.createDataFrame(
+        [(s, "semgrep", "/root", p, t) for s, p, t in texts], "scan_id STRING, tool STRING, scan_root STRING, pos INT, finding STRING"
+    )
+    tool = conform.REGISTRY["semgrep"]
+
+    def counts(mode):
+        issues = conform.conform(src.read_split(rows, tool.dialect, mode), tool)
+        return {r["scan_id"]: r["count"] for r in issues.groupBy("scan_id").count().collect()}
+
+    assert counts("strict") == {"hot": 900, "c": 1}
+    assert counts("quarantine") == {"hot": 900, "a": 1, "b": 1, "c": 1}
