@@ -97,14 +97,38 @@ def parse_int(c: Column) -> Column:
     return digits.try_cast("bigint")
 
 
+UNIT_MICROS = {"ms": 1_000, "second": 1_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def micros_between(start: Column, end: Column) -> Column:
+    """Microseconds from start to end.
+
+    By way of an interval, which is exact for timestamps without zone; timestampdiff would read them
+    in the session's zone and be an hour off around a clock change.
+    """
+    span = end - start
+    hours = F.extract(F.lit("DAY"), span).cast("bigint") * 24 + F.extract(F.lit("HOUR"), span)
+    minutes = hours * 60 + F.extract(F.lit("MINUTE"), span)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("bigint")
+
+
+def elapsed(unit: str, start: Column, end: Column) -> Column:
+    """Whole units from start to end, cut off towards zero."""
+    micros, size = micros_between(start, end), UNIT_MICROS[unit]
+    return ((micros - micros % size) / size).cast("bigint")
+
+
+def epoch_micros(ts: Column) -> Column:
+    return micros_between(F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
+
+
 def duration_ms(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MILLISECOND", start, end)
+    return elapsed("ms", start, end)
 
 
 def minutes_until(expires: Column, now: Column) -> Column:
     """Whole minutes to expiry, halves rounded up."""
-    ms = F.timestamp_diff("MILLISECOND", now, expires)
-    return F.floor(ms / F.lit(60000) + F.lit(0.5))
+    return F.floor(elapsed("ms", now, expires) / F.lit(60000) + F.lit(0.5))
 
 
 def token_valid(token: Column, expires: Column, now: Column) -> Column:

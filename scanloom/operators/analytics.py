@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.functions.text import elapsed, epoch_micros
+
 
 def clean_percentage(reviews: DataFrame, *by: str) -> DataFrame:
     """Share of functions marked clean, in percent."""
@@ -23,7 +25,7 @@ def open_comments(comments: DataFrame, now: Column, *by: str) -> DataFrame:
     """Unresolved comments and the age in hours of the oldest."""
     oldest = F.min(F.when(~F.col("resolved"), F.col("created_at")))
     return comments.groupBy(*by).agg(
-        F.count_if(~F.col("resolved")).alias("n_open"), F.timestamp_diff("HOUR", oldest, now).alias("oldest_hours")
+        F.count_if(~F.col("resolved")).alias("n_open"), elapsed("hour", oldest, now).alias("oldest_hours")
     )
 
 
@@ -60,12 +62,13 @@ def rolling_usage(usage: DataFrame, key: str, seconds: int) -> DataFrame:
     is also handed to the next slice as history. A slice, not a key, is then a task's unit of work,
     and a key with a third of all events is spread over time.
     """
-    at = F.unix_seconds(F.to_utc_timestamp(F.col("created_at").cast("timestamp"), F.current_timezone()))
-    slot = F.floor(at / seconds)
+    width = seconds * 1_000_000
+    at = epoch_micros(F.col("created_at"))
+    slot = F.floor(at / width)
     copies = usage.select(
         *usage.columns, at.alias("__at"), F.posexplode(F.array(slot, slot + 1)).alias("__history", "__slot")
     )
-    frame = Window.partitionBy(key, "__slot").orderBy("__at").rangeBetween(-seconds, Window.currentRow)
+    frame = Window.partitionBy(key, "__slot").orderBy("__at").rangeBetween(-width, Window.currentRow)
     summed = copies.withColumn("rolling_tokens", F.sum("total_tokens").over(frame))
     return summed.filter(F.col("__history") == 0).select(*usage.columns, "rolling_tokens")
 
@@ -135,8 +138,8 @@ def job_progress(jobs: DataFrame) -> DataFrame:
         "status",
         progress["filesProcessed"].alias("done"),
         progress["totalFiles"].alias("total"),
-        F.timestamp_diff("SECOND", F.col("created_at"), F.col("started_at")).alias("queued"),
-        F.timestamp_diff("SECOND", F.col("started_at"), F.col("completed_at")).alias("ran"),
+        elapsed("second", F.col("created_at"), F.col("started_at")).alias("queued"),
+        elapsed("second", F.col("started_at"), F.col("completed_at")).alias("ran"),
     )
     return known.groupBy("status").agg(
         F.count("*").alias("n_jobs"),
@@ -167,5 +170,5 @@ def triage(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(
         F.count_if(F.col("status") == "open").alias("n_open"),
         F.count("resolved_at").alias("n_resolved"),
-        F.sum(F.timestamp_diff("DAY", F.col("created_at"), F.col("resolved_at"))).alias("resolve_days"),
+        F.sum(elapsed("day", F.col("created_at"), F.col("resolved_at"))).alias("resolve_days"),
     )

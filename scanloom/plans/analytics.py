@@ -51,8 +51,8 @@ def d1(spark, d):
 @query(
     "d2_rolling_usage",
     """
-SELECT event_id AS id, user_id::INT AS user_id, sum(event_id % 97) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT
-  RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)::BIGINT AS rolling_tokens FROM events""",
+SELECT event_id AS id, user_id::INT AS user_id, sum(event_id % 97) OVER (PARTITION BY user_id ORDER BY ts
+  RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)::BIGINT AS rolling_tokens FROM events""",
 )
 def d2(spark, d):
     rolled = analytics.rolling_usage(views.usage_events(spark, d), "user_id", 86400)

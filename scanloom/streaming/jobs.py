@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from scanloom.functions.text import epoch_micros
 from scanloom.operators import conform, credentials, updates
 from scanloom.sources import jobs as job_source
 
@@ -32,7 +33,7 @@ RESOLVED_ROW = (
 
 def utc(ts: Column) -> Column:
     """Timestamp without zone, read as UTC whatever the session's zone is; watermarks need it."""
-    return F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+    return F.timestamp_micros(epoch_micros(ts))
 
 
 def deduplicate(jobs: DataFrame, within: str) -> DataFrame:

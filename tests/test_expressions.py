@@ -143,6 +143,18 @@ def test_minutes_round_half_up(spark):
     assert value(spark, text.minutes_until(ts("2023-12-31 23:57:30"), now)) == -2
 
 
+def test_elapsed_ignores_the_session_zone(spark):
+    start, end = ts("2024-03-10 01:30:00"), ts("2024-03-10 02:30:00.250")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 02:30 does not exist there
+    try:
+        assert value(spark, text.duration_ms(start, end)) == 3_600_250
+        assert value(spark, text.duration_ms(end, start)) == -3_600_250
+        assert value(spark, text.epoch_micros(end)) == 1_710_037_800_250_000
+        assert value(spark, text.elapsed("hour", start, end)) == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_blank_knows_all_white_space(spark):
     assert value(spark, text.is_blank(F.lit("﻿ \t\n 　"))) is True
     assert value(spark, text.is_blank(F.lit(" x "))) is False
