@@ -77,22 +77,41 @@ def closing(scans: DataFrame, issues: DataFrame, requested: DataFrame, duration:
     return rows.select("scan_id", failed_at.alias("failed_at"), *_closing_columns(status, duration, at))
 
 
-def close_scans(scans: DataFrame, closed: DataFrame) -> DataFrame:
-    """Scan rows after a run, ``closed`` as given by ``closing``."""
-    fresh = [F.col(c).alias(f"__new_{c}") for c in COMPLETED]
-    marked = closed.select(
-        "scan_id", F.lit(True).alias("__hit"), F.coalesce(F.col("failed_at") != "path", F.lit(True)).alias("__all"), *fresh
+def job_failure(scan_ids: DataFrame, at: Column) -> DataFrame:
+    """Closing rows of scans whose job stopped before any scanner ran."""
+    kinds = {"tools_used": "array<string>", "completed_at": None}
+    values = {
+        "status": F.lit("failed"), "completed_at": at,
+        **{c: F.lit(None).cast(kinds.get(c, "int")) for c in COMPLETED if c not in FAILED},
+    }
+    return scan_ids.select("scan_id", F.lit("job").alias("failed_at"), *[values[c].alias(c) for c in COMPLETED])
+
+
+def apply_log(scans: DataFrame, log: DataFrame, order_by: str) -> DataFrame:
+    """Scan rows after all closings of a log, as if each had been applied in order.
+
+    Status and time come from a scan's last closing, counters from its last closing that stored
+    them: a failure keeps the counters it finds. Aggregation and join share one partitioning.
+    """
+    counted = [c for c in COMPLETED if c not in FAILED]
+    stores = F.col("failed_at").isNull() | (F.col("failed_at") == "insert")
+    last = log.groupBy("scan_id").agg(
+        F.max(F.struct(order_by, *FAILED)).alias("last"),
+        F.max(F.when(stores, F.struct(order_by, *counted))).alias("stored"),
     )
-    joined = scans.join(marked, "scan_id", "left")
-    touched = {c: F.col("__hit") if c in FAILED else F.col("__hit") & F.col("__all") for c in COMPLETED}
+    joined = scans.join(last, "scan_id", "left")
+    new = {c: (F.col("last"), F.col("last")[c]) for c in FAILED}
+    new.update({c: (F.col("stored"), F.col("stored")[c]) for c in counted})
     return joined.select(
-        *[
-            F.when(touched[c], F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in touched else F.col(c)
-            for c in scans.columns
-        ]
+        *[F.when(new[c][0].isNotNull(), new[c][1]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in scans.columns]
     )
 
 
+def close_scans(scans: DataFrame, closed: DataFrame) -> DataFrame:
+    """Scan rows after one run, ``closed`` as given by ``closing``."""
+    return apply_log(scans, closed.withColumn("__run", F.lit(0)), "__run")
+
+
 def replace_scans(target: DataFrame, fresh: DataFrame) -> DataFrame:
     """Target rows of other scans plus the fresh rows: a re-run scan does not double its issues."""
     again = fresh.select("scan_id").distinct()

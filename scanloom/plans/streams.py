@@ -62,17 +62,16 @@ def t3(spark, d):
 
 @query(
     "t4_life_cycle",
-    report_sql(f"""
-, runs AS (
-  SELECT 'scan_' || event_id AS scan_id FROM events
-  WHERE value <= 100 AND event_id % 5 < 3
-    AND NOT (event_type = 'view' AND user_id % 30 >= 25)),
-counted AS (SELECT r.scan_id, {COUNTERS} FROM runs r LEFT JOIN iss USING (scan_id) GROUP BY r.scan_id),
+    report_sql(
+        job_sql(f"""
+, counted AS (SELECT r.scan_id, {COUNTERS} FROM (SELECT scan_id FROM err WHERE error IS NULL) r LEFT JOIN iss USING (scan_id) GROUP BY r.scan_id),
 stop AS (SELECT scan_id, bool_or(file_path IS NULL) AS no_path,
   bool_or(file_path IS NULL OR title IS NULL OR description IS NULL) AS bad FROM iss GROUP BY scan_id)
 SELECT scan_id, CASE WHEN coalesce(bad, false) THEN 'failed' ELSE 'completed' END AS status,
   CASE WHEN bad THEN CASE WHEN no_path THEN 'path' ELSE 'insert' END END AS failed_at, total_issues, high_count
-FROM counted LEFT JOIN stop USING (scan_id)"""),
+FROM counted LEFT JOIN stop USING (scan_id)
+UNION ALL SELECT scan_id, 'failed', 'job', NULL, NULL FROM err WHERE error IS NOT NULL""").replace("WITH msg", ", msg", 1)
+    ),
 )
 def t4(spark, d):
     def reports_for(jobs):

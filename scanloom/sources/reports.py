@@ -265,6 +265,15 @@ def read_split(rows: DataFrame, dialect: Dialect, mode: str = "strict") -> DataF
     return judged.filter(~F.col("bad")).drop("bad")
 
 
+def store_reports(reports: DataFrame, path: str) -> None:
+    """Write reports as a table partitioned by tool.
+
+    Each dialect is read by its own branch of the plan. With this layout a branch opens only its
+    tool's files; without it every branch would read the text column of all tools.
+    """
+    reports.write.mode("append").partitionBy("tool").parquet(path)
+
+
 def sealed(df: DataFrame) -> DataFrame:
     """Same rows, with a generator on top that filters cannot be pushed through.
 

@@ -80,9 +80,16 @@ class JobRun:
         todo = spark.read.schema(RESOLVED_ROW).parquet(f"{self.out}/{RESOLVED}/batch={batch}")
 
         stopped = todo.filter(F.col("error").isNotNull() & ~F.col("finished")).select("scan_id", "error")
+        closed = updates.job_failure(stopped, self.now)
         if self.reports_for is not None:
             runnable = todo.filter(F.col("error").isNull() & ~F.col("finished"))
-            stopped = stopped.unionByName(self._scan(spark, runnable, batch))
+            closed = closed.unionByName(self._scan(spark, runnable, batch))
+        self._write(closed, SCAN_UPDATES, batch)
+        written = spark.read.schema("scan_id STRING, failed_at STRING").parquet(f"{self.out}/{SCAN_UPDATES}/batch={batch}")
+        unusable = written.filter(F.col("failed_at").isin("path", "insert"))
+        stopped = stopped.unionByName(
+            unusable.select("scan_id", F.concat(F.lit("unusable issue: "), F.col("failed_at")).alias("error"))
+        )
         # Every message is answered, copies included.
         replies = jobs.select("message_id", "scan_id").join(stopped, "scan_id", "left")
         self._write(
@@ -108,7 +115,7 @@ class JobRun:
         return jobs.join(keys, "scan_id", "left").na.fill(False, ["finished"])
 
     def _scan(self, spark: SparkSession, runnable: DataFrame, batch: str) -> DataFrame:
-        """Issues and closing rows of the batch; returns the scans an issue failed, with the reason."""
+        """Store the batch's issues and return how its scans end."""
         reports = self.reports_for(runnable)
         issues = conform.all_issues(reports, tools=list(reports) if isinstance(reports, dict) else None)
         self._write(conform.sink_rows(issues, self.now), ISSUES, batch)
@@ -119,12 +126,7 @@ class JobRun:
         ).parquet(f"{self.out}/{ISSUES}/batch={batch}")
         skip = F.array().cast("array<string>") if self.skip_tools is None else self.skip_tools
         requested = runnable.select("scan_id", conform.tools_to_run(skip).alias("tools"))
-        closed = updates.closing(runnable, stored, requested, F.lit(0), self.now)
-        self._write(closed, SCAN_UPDATES, batch)
-        failed = spark.read.schema("scan_id STRING, failed_at STRING").parquet(f"{self.out}/{SCAN_UPDATES}/batch={batch}")
-        return failed.filter(F.col("failed_at").isNotNull()).select(
-            "scan_id", F.concat(F.lit("unusable issue: "), F.col("failed_at")).alias("error")
-        )
+        return updates.closing(runnable, stored, requested, F.lit(0), self.now)
 
     def _write(self, rows: DataFrame, name: str, batch: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.out}/{name}/batch={batch}")

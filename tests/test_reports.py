@@ -181,6 +181,15 @@ def test_tool_filter_reaches_the_scan(spark, tmp_path):
     assert "Exchange" not in plan
 
 
+def test_partitioned_reports_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    src.store_reports(frame(spark, "gitleaks", secrets(SECRET)).unionByName(frame(spark, "semgrep", rules(RULE))), path)
+    stored = spark.read.parquet(path)
+    plan = conform.tool_issues(stored, "semgrep")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tool" in plan and "(tool" in plan.split("PartitionFilters")[1]
+    assert conform.all_issues(stored).count() == 2
+
+
 def test_registry_refuses_twins():
     with pytest.raises(ValueError):
         conform.register("trivy", src.PACKAGES)(lambda f: {})

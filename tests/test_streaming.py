@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from scanloom import schemas
+from scanloom.operators import updates
 from scanloom.streaming import jobs as js
 
 GOOD = json.dumps([{"Description": "d", "StartLine": 1, "EndLine": 1, "File": "/r/f", "Secret": "abcdefghij", "RuleID": "x"}])
@@ -74,6 +75,7 @@ def test_failed_job_runs_when_redelivered(spark, tmp_path):
     b.run()
     assert b.rows(js.ISSUES, "scan_id") == [("a",)]
     assert b.rows(js.OUTCOMES, "ok") == [(False,), (True,)]
+    assert b.rows(js.SCAN_UPDATES, "batch", "scan_id", "status") == [(0, "a", "failed"), (1, "a", "completed")]
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
@@ -91,6 +93,13 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     closed = js.read_output(spark, b.out, js.SCAN_UPDATES).select("scan_id", "status", "failed_at", "total_issues")
     assert sorted(map(tuple, closed.collect())) == [
         ("a", "completed", None, 1), ("b", "failed", "insert", 1), ("c", "failed", "path", 1), ("d", "completed", None, 0),
+        ("e", "failed", "job", None),
+    ]
+    scans = spark.createDataFrame([(s, "running", 99) for s in "abcdez"], "scan_id STRING, status STRING, total_issues INT")
+    after = updates.apply_log(scans, js.read_output(spark, b.out, js.SCAN_UPDATES), "batch")
+    assert sorted(map(tuple, after.collect())) == [
+        ("a", "completed", 1), ("b", "failed", 1), ("c", "failed", 99), ("d", "completed", 0), ("e", "failed", 99),
+        ("z", "running", 99),
     ]
     assert first[js.DEAD_LETTERS] == [(5, "no_url")]
 

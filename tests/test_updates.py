@@ -47,3 +47,18 @@ def test_replace_scans(spark):
     assert sorted(map(tuple, updates.replace_scans(old, fresh).collect())) == [("a", 9), ("b", 3)]
     again = updates.replace_scans(updates.replace_scans(old, fresh), fresh)
     assert sorted(map(tuple, again.collect())) == [("a", 9), ("b", 3)]
+
+
+def test_log_applies_in_order(spark):
+    """A later failure keeps the counters an earlier closing stored."""
+    counters = "total_issues critical_count high_count medium_count low_count info_count".split()
+    scans = spark.createDataFrame([("a", "running", 0)], "scan_id STRING, status STRING, total_issues INT")
+    stored = spark.createDataFrame(
+        [("a", "insert", "failed", ["x"], 5, *[3] * 6, None, 1)],
+        "scan_id STRING, failed_at STRING, status STRING, tools_used ARRAY<STRING>, scan_duration INT, "
+        + ", ".join(f"{c} INT" for c in counters) + ", completed_at TIMESTAMP_NTZ, run INT",
+    )
+    at = F.to_timestamp_ntz(F.lit("2024-01-01"))
+    later = updates.job_failure(spark.createDataFrame([("a",)], "scan_id STRING"), at).withColumn("run", F.lit(2))
+    rows = updates.apply_log(scans, stored.unionByName(later), "run").collect()
+    assert [tuple(r) for r in rows] == [("a", "failed", 3)]
