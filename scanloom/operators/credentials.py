@@ -31,9 +31,10 @@ def repo_with_installation(repos: DataFrame, installations: DataFrame) -> DataFr
 def job_includes(jobs: DataFrame, repos: DataFrame, installations: DataFrame) -> DataFrame:
     """Job, its repository, the repository's installation; both may be missing."""
     repo = repo_with_installation(repos, installations).select(
-        F.col("id").alias("repo_id"), F.col("name").alias("repo_name"), "installation_ref", "account_login"
+        F.col("id").cast("string").alias("__key"), F.col("name").alias("repo_name"), "installation_ref", "account_login"
     )
-    return jobs.join(repo, "repo_id", "left")
+    keyed = jobs.withColumn("__key", spread_nulls(F.col("repo_id"), F.col("scan_id")))
+    return keyed.join(repo, "__key", "left").drop("__key")
 
 
 def installation_lookup(refs: DataFrame, installations: DataFrame, ref: str, salt: str) -> DataFrame:

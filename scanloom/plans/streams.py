@@ -60,6 +60,15 @@ def t3(spark, d):
     return js.read_output(spark, _run(spark, d), js.DEAD_LETTERS).select("message_id", "scan_id", "reason")
 
 
+@query(
+    "t3_redrive",
+    job_sql("""
+SELECT event_id AS message_id, 1::BIGINT AS n_failed, '{"error":"' || error || '"}' AS reply FROM err WHERE error IS NOT NULL"""),
+)
+def t3_redrive(spark, d):
+    return js.redrive(js.read_output(spark, _run(spark, d), js.OUTCOMES), 1)
+
+
 @query(
     "t4_life_cycle",
     report_sql(

@@ -138,6 +138,16 @@ class JobRun:
             return None
 
 
+def redrive(outcomes: DataFrame, max_receives: int) -> DataFrame:
+    """Messages that failed ``max_receives`` times or more and never succeeded: for the dead-letter queue."""
+    tries = outcomes.groupBy("message_id").agg(
+        F.count_if(~F.col("ok")).alias("n_failed"),
+        F.bool_or("ok").alias("succeeded"),
+        F.max(F.struct("batch", "reply"))["reply"].alias("reply"),
+    )
+    return tries.filter(~F.col("succeeded") & (F.col("n_failed") >= max_receives)).drop("succeeded")
+
+
 def read_output(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{name}")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scanloom import constants as K
 from scanloom.functions import payload, severity, text
+from scanloom.operators import credentials
 
 
 def value(spark, column):
@@ -196,3 +197,10 @@ def test_invalid_utf8(spark):
 def test_archive_root(spark):
     assert value(spark, text.strip_archive_root(F.lit("repo-main/a/b"))) == "a/b"
     assert value(spark, text.strip_archive_root(F.lit("file"))) == "file"
+
+
+def test_outcome(spark):
+    none = F.lit(None).cast("string")
+    assert value(spark, credentials.outcome(F.lit("s"), none)) == '{"success":true,"scanId":"s"}'
+    assert value(spark, credentials.outcome(F.lit("s"), F.lit("boom"))) == '{"error":"boom"}'
+    assert value(spark, credentials.outcome(F.lit("s"), F.lit(""))) == '{"error":"Processing failed"}'

@@ -70,11 +70,14 @@ def test_failed_job_runs_when_redelivered(spark, tmp_path):
     deliver(spark, b.inbox, message(1, "a", token="", installationId="88"))
     b.run()
     assert b.rows(js.OUTCOMES, "ok", "reply") == [(False, '{"error":"Installation not found: 88"}')]
+    outcomes = js.read_output(spark, b.out, js.OUTCOMES)
+    assert [r["message_id"] for r in js.redrive(outcomes, 1).collect()] == [1] and js.redrive(outcomes, 2).isEmpty()
     b.installations.append((8, "88"))
     deliver(spark, b.inbox, message(1, "a", 5, token="", installationId="88"))
     b.run()
     assert b.rows(js.ISSUES, "scan_id") == [("a",)]
     assert b.rows(js.OUTCOMES, "ok") == [(False,), (True,)]
+    assert js.redrive(js.read_output(spark, b.out, js.OUTCOMES), 1).isEmpty()
     assert b.rows(js.SCAN_UPDATES, "batch", "scan_id", "status") == [(0, "a", "failed"), (1, "a", "completed")]
 
 
