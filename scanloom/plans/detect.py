@@ -43,7 +43,7 @@ _HEX = detect.SECRET_RULES[1].pattern
 
 _SECRETS = f"""
 WITH doc AS (SELECT 'scan_' || source AS scan_id, lang || '/' || doc_id || '.txt' AS file_path, string_split(text, chr(10)) AS ls FROM documents),
-line AS (SELECT scan_id, file_path, ls[i] AS line, i AS line_start FROM doc, unnest(range(1, len(ls) + 1)) AS r(i)),
+line AS (SELECT scan_id, file_path, ls[i] AS line, i::INT AS line_start FROM doc, unnest(range(1, len(ls) + 1)) AS r(i)),
 hit AS (
   SELECT scan_id, file_path, line_start, 'quoted-credential' AS rule, unnest(regexp_extract_all(line, '{_QUOTED}', 2)) AS secret FROM line
   UNION ALL
@@ -89,7 +89,7 @@ def _pattern_sql() -> str:
 WITH file AS (
   SELECT 'scan_' || source AS scan_id, lang || '/' || doc_id || '.txt' AS file_path, lang AS language, string_split(text, chr(10)) AS ls FROM documents
   UNION ALL SELECT 'scan_web', page_id || '.html', 'html', string_split(html, chr(10)) FROM pages),
-line AS (SELECT scan_id, file_path, language, ls[i] AS line, i AS line_start FROM file, unnest(range(1, len(ls) + 1)) AS r(i)),
+line AS (SELECT scan_id, file_path, language, ls[i] AS line, i::INT AS line_start FROM file, unnest(range(1, len(ls) + 1)) AS r(i)),
 hit AS ({" UNION ALL ".join(parts)})
 SELECT scan_id, file_path, line_start, title, severity, cwe, recommendation FROM hit"""
 

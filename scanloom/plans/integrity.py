@@ -174,7 +174,7 @@ def c7(spark, d):
     "c8_defaults",
     """
 SELECT 'scan_' || o_orderkey AS scan_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS status,
-  0 AS total_issues, 0 AS info_count, NULL AS scan_duration, strftime(o_orderdate, '%Y-%m-%d') AS created_at,
+  0 AS total_issues, 0 AS info_count, NULL::INT AS scan_duration, strftime(o_orderdate, '%Y-%m-%d') AS created_at,
   CASE WHEN o_orderstatus = 'F' THEN 3 END AS high_count FROM orders""",
 )
 def c8(spark, d):
@@ -200,7 +200,7 @@ def _many(parent, child, column, name):
 
 def _many_sql(name, parent, key, child, fk, child_id):
     return f"""
-SELECT p.{key} AS parent_id, '{name}' AS relation, coalesce(chunk, 0) AS chunk, coalesce(ids, '') AS ids FROM {parent} p
+SELECT p.{key}::INT AS parent_id, '{name}' AS relation, coalesce(chunk, 0) AS chunk, coalesce(ids, '') AS ids FROM {parent} p
 LEFT JOIN (SELECT fk, chunk, string_agg(id, ',' ORDER BY id) AS ids FROM (
   SELECT fk, id, CASE WHEN count(*) OVER (PARTITION BY fk) > {relations.NEST_LIMIT} THEN id // {relations.NEST_LIMIT} ELSE 0 END AS chunk
   FROM (SELECT {fk} AS fk, {child_id} AS id FROM {child})) GROUP BY fk, chunk) c ON c.fk = p.{key}"""

@@ -37,8 +37,8 @@ reasoned AS (
 judged AS (
   SELECT *,
     CASE WHEN reason IN ('signal', 'exit_code', 'blank', 'null_document', 'bad_type', 'bad_json', 'no_results')
-           OR (reason = 'bad_finding' AND n = 0) THEN 0 ELSE n_bad END AS n_unusable,
-    CASE WHEN reason IS NOT NULL THEN 0 WHEN '{mode}' = 'strict' THEN n ELSE n - n_bad END AS n_findings,
+           OR (reason = 'bad_finding' AND n = 0) THEN 0 ELSE n_bad::INT END AS n_unusable,
+    CASE WHEN reason IS NOT NULL THEN 0 WHEN '{mode}' = 'strict' THEN n::INT ELSE (n - n_bad)::INT END AS n_findings,
     CASE WHEN reason = 'signal' THEN 'terminated'
          WHEN reason IN ('exit_code', 'bad_type', 'null_document', 'bad_finding') THEN 'error'
          WHEN reason = 'blank' AND t < 2 THEN 'error'
@@ -47,10 +47,10 @@ judged AS (
          ELSE 'ok' END AS status
   FROM reasoned),
 usable AS (
-  SELECT f.*, 'src/' || (k % 50) || '.txt' AS base, 1 + k % 200 AS line
+  SELECT f.*, 'src/' || (k % 50) || '.txt' AS base, (1 + k % 200)::INT AS line
   FROM fnd f JOIN judged j USING (scan_id, t) WHERE j.reason IS NULL AND {usable}),
 iss AS (
-  SELECT scan_id, tool, t AS tool_rank, row_number() OVER (PARTITION BY scan_id, t ORDER BY i) - 1 AS pos, k, i,
+  SELECT scan_id, tool, t AS tool_rank, (row_number() OVER (PARTITION BY scan_id, t ORDER BY i) - 1)::INT AS pos, k, i,
     CASE WHEN t < 2 THEN ['critical', 'critical', 'high', 'medium', 'low'][k % 5 + 1]
          WHEN t = 2 THEN 'critical'
          WHEN t = 3 THEN ['critical', 'high', 'medium', 'low', 'medium'][k % 5 + 1]

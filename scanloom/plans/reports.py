@@ -316,7 +316,7 @@ def u1(spark, d):
     "o1_issue_ordinal",
     report_sql("""
 SELECT scan_id, tool, pos, title,
-  row_number() OVER (PARTITION BY scan_id ORDER BY tool_rank, pos) AS ordinal FROM iss"""),
+  row_number() OVER (PARTITION BY scan_id ORDER BY tool_rank, pos)::INT AS ordinal FROM iss"""),
 )
 def o1(spark, d):
     return conform.number_issues(conform.all_issues(views.reports(spark, d))).select(
