@@ -191,7 +191,7 @@ def number_issues(issues: DataFrame, registry: dict[str, Tool] = REGISTRY) -> Da
 
     A finding's place is its report position plus the size of the reports before it. Only those
     sizes (one row per scan) are aggregated and joined back; no scan is ever sorted in one task,
-    however many issues it has.
+    however many issues it has. The issues are read twice, so stored ones are the better input.
     """
     ranks = [tool.rank for tool in registry.values()]
     sizes = issues.groupBy("scan_id").agg(
