@@ -101,7 +101,8 @@ def fingerprint_links(nodes: DataFrame, most: int) -> DataFrame:
         raise ValueError(f"three segments find at most {MOST_BITS} differing bits")
     variants = _variants(nodes)
     centres = variants.groupBy("key").agg(F.min("bits").alias("centre"), F.count(F.lit(1)).alias("n"))
-    members = variants.join(centres.where("n > 1").select("key", "centre"), "key")
+    # Without the hint the planner takes the size before the explode for the size of a side.
+    members = variants.hint("merge").join(centres.where("n > 1").select("key", "centre"), "key")
     members = settled(members.withColumn("near", _differing("bits", "centre") <= most), "variants")
     stars = members.where("near and bits <> centre").select(F.col("bits").alias("u"), F.col("centre").alias("v"))
     far = members.where("not near").select("key", F.col("bits").alias("u"))
