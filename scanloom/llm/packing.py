@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,40 +18,77 @@ from scanloom.llm.common import ranked, settled
 
 CAPACITY = 2048
 END = 0
-#: Words of which a worker remembers the ids; the memory is emptied when it is full.
-REMEMBERED = 400_000
-#: Text tokenized at once.
-_AT_ONCE = 2_000
-_ids: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: Words of which a worker remembers the ids; beyond, the words not used since the last time are forgotten.
+REMEMBERED = 250_000
+#: Letters, then ASCII marks: the tokenizer's rules cut such a word there, and its letters need no normalizing but lower case.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)\Z")
 
 
-def _word_ids(path: str) -> tuple[object, dict[bytes, bytes]]:
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _ids[path] = {}
-    return _tokenizers[path], _ids[path]
 
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit bytes; a word that is not known is encoded when it is looked up."""
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, then id 0.
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-    The tokenizer's rules never join characters across ASCII white space, so each distinct word between
-    white space is encoded by it once and then remembered.
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.before: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.shown: dict[int, str] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._whole(word.decode())
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of letters in lower case or of marks, by the tokenizer's model alone."""
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part
+            if not part.isascii():
+                for c in set(part):
+                    if ord(c) not in self.shown:
+                        self.shown[ord(c)] = "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+                shown = part.translate(self.shown)
+            ids = self.parts[part] = _bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        plain = _PLAIN.match(word)
+        if plain is None:
+            return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        letters, marks = plain.groups()
+        return self._part(letters.lower()) + (self._part(marks) if marks else b"")
+
+    def forget(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+
+
+_loaded: dict[str, WordIds] = {}
+
+
+def token_bytes(text: str, path: str) -> bytes:
+    """Little-endian 32-bit ids of a text, then id 0.
+
+    The tokenizer's rules never join characters across ASCII white space, so that each distinct word
+    between white space is encoded once and then remembered.
     """
-    tokenizer, known = _word_ids(path)
-    split = [t.encode().split() for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for words in split for w in words if w not in known})
-    for at in range(0, len(new), _AT_ONCE):
-        part = new[at : at + _AT_ONCE]
-        for word, coded in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
-    end = np.array([END], "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) + end for words in split]
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    known = _loaded[path]
+    known.forget()
+    return b"".join(map(known.__getitem__, text.encode().split())) + END.to_bytes(4, "little")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
@@ -65,8 +104,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                coded = token_bytes([t.as_py() or "" for t in part.column(1)], tokenizer)
-                for doc_id, ids in zip(part.column(0).to_pylist(), coded, strict=True):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    ids = token_bytes(text.as_py() or "", tokenizer)
                     for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[a : a + 4 * capacity]
                         rows.append((doc_id, piece, a // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None))
