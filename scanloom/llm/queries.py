@@ -81,7 +81,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.judged(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = rules.judged(read(spark, sf_dir, "documents"), carried=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, "base_failed", "kept")
 

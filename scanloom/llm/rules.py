@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,65 +18,76 @@ SHORT = 4
 #: Languages with a reference of their own, by number of words; others use the reference of all documents.
 LANGUAGES = 64
 ALL = ""
-#: Texts with fewer words are not judged by divergence.
-GUARD_WORDS = 50
-#: Largest Jensen-Shannon distances (0 to 1) of a text that is kept.
-CLASS_DISTANCE = 0.3
-WORD_DISTANCE = 0.42
-
-
-def base_statistics(text: Column) -> dict[str, Column]:
-    """The counts every text gets; null text has none of anything."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return {
-        "n_words": F.size("words").cast("long"),
-        "word_chars": st.total_length(F.col("words")),
-        "n_symbols": st.count_left(text, st.SYMBOLS),
-        "n_dup_lines": st.duplicate_lines(text),
-        "n_repeat_words": st.repeated_words(F.col("words")),
-    }
+#: (words from which they hold, largest class distance, largest word distance): distances are from 0 to 1 and
+#: scatter more in short texts. Texts with fewer words than any guard are not judged by distances.
+GUARDS = ((300, 0.20, 0.30), (150, 0.22, 0.345), (50, 0.30, 0.42))
 
 
-def _short(words: Column) -> Column:
-    return F.filter(F.transform(words, F.lower), lambda w: w.rlike(r"^\p{L}{1,%d}$" % SHORT))
 
+def measured(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` as the struct ``row`` (of the ``carried`` columns, None: all) beside its counts, read once and settled.
 
-def _classes_of(text: Column) -> Column:
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    length = F.length(text).cast("long")
-    return st.class_counts(text, length, length - st.total_length(F.col("words")))
+    Besides the base counts: ``classes``, the characters of each class, and ``short``, the histogram of the words of
+    one to four letters in lower case. Null text has none of anything.
+    """
+    own = F.struct(*(docs[c] for c in carried or docs.columns)).alias("row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    length = F.length("text").cast("long")
+    read = docs.select(own, text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"))
+    read = read.withColumn("words", words_of(F.col("text")))
+    read = read.select(
+        "row",
+        "text",
+        "lang",
+        "words",
+        F.size("words").cast("long").alias("n_words"),
+        st.total_length(F.col("words")).alias("word_chars"),
+        st.count_left(F.col("text"), st.SYMBOLS).alias("n_symbols"),
+    )
+    short = F.filter(F.transform("words", F.lower), lambda w: (F.length(w) <= SHORT) & w.rlike(r"^\p{L}+$"))
+    return settled(
+        read.select(
+            "row",
+            "lang",
+            "n_words",
+            "word_chars",
+            "n_symbols",
+            st.duplicate_lines(F.col("text")).alias("n_dup_lines"),
+            st.repeated_words(F.col("words")).alias("n_repeat_words"),
+            st.class_counts(F.col("text"), length, length - F.col("word_chars"), F.col("n_symbols")).alias("classes"),
+            st.histogram(short).alias("short"),
+        ),
+        "measured",
+    )
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """Columns ``lang``, ``n_words``, ``classes``, ``common``, ``shares``: the reference of each language.
+def references(counts: DataFrame) -> DataFrame:
+    """Columns ``ref_lang``, ``ref_classes``, ``common``, ``shares``: the reference of each language of ``measured`` rows.
 
     Counts are sums over all texts. ``common`` are the language's most frequent words of one to four
     letters, ``shares`` their shares of its words. At most ``LANGUAGES`` languages have a row, the ones with
     most words, besides the row of all documents (language ``""``): the table's size is bounded.
     """
-    read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(ALL)).alias("lang"), "text").withColumn("words", words_of(F.col("text")))
-    sizes = read.select("lang", F.size("words").alias("n"), _classes_of(F.col("text")).alias("c"))
-    sums = [F.sum(F.get("c", F.lit(i))).cast("double") for i in range(len(st.CLASSES) + 2)]
-    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n_words"), *(s.alias(f"_{i}") for i, s in enumerate(sums)))
-    totals = settled(totals, "totals")
-    counted = read.select("lang", F.explode(_short(F.col("words"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counted = settled(counted, "common-words")
-    names = [f"_{i}" for i in range(len(sums))]
+    names = [f"_{i}" for i in range(len(st.CLASSES) + 2)]
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(n) for i, n in enumerate(names)]
+    totals = settled(counts.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *sums), "totals")
+    pairs = counts.select("lang", F.explode(F.arrays_zip(F.col("short.value").alias("word"), F.col("short.n").alias("n"))).alias("w"))
+    words = pairs.groupBy("lang", F.col("w.word").alias("word")).agg(F.sum("w.n").alias("n"))
+    words = settled(words, "words")
     own = totals.where(F.col("lang") != ALL).orderBy(F.desc("n_words"), "lang").limit(LANGUAGES)
-    every = totals.agg(F.sum("n_words").alias("n_words"), *(F.sum(n).alias(n) for n in names)).select(F.lit(ALL).alias("lang"), "n_words", *names)
-    chosen = own.union(every)
-    all_words = counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
-    # Only the languages' best words meet: each task keeps its own best before the rank over a language.
-    pairs = counted.where(F.col("lang") != ALL).union(all_words).join(chosen.select("lang"), "lang")
-    spread = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
-    best = pairs.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("r", F.row_number().over(spread)).where(F.col("r") <= COMMON)
-    rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= COMMON)
-    listed = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
-    return chosen.join(listed, "lang", "left").select(
-        "lang",
-        "n_words",
-        F.array(*names).alias("classes"),
+    every = totals.agg(*(F.sum(n).alias(n) for n in ("n_words", *names))).select(F.lit(ALL).alias("lang"), "n_words", *names)
+    chosen = own.union(every.where(F.col("n_words").isNotNull()))
+    all_words = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
+    listed = words.where(F.col("lang") != ALL).union(all_words).join(chosen.select("lang"), "lang")
+    # A language's words are ranked in parts first, so that only its best of each part meet.
+    parts = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = listed.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("r", F.row_number().over(parts))
+    best = best.where(F.col("r") <= COMMON).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= COMMON)
+    top = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
+    return chosen.join(top, "lang", "left").select(
+        F.col("lang").alias("ref_lang"),
+        F.array(*(F.col(n).cast("double") for n in names)).alias("ref_classes"),
         F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("common"),
         F.coalesce(F.transform("top", lambda t: t["n"] / F.col("n_words")), F.array().cast("array<double>")).alias("shares"),
     )
@@ -95,45 +108,42 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` as the struct ``row`` beside its counts, ``class_distance``, ``word_distance``, ``base_failed``, ``kept``.
+def judged(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``measured`` with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
-    A text is kept if it passes the base rules and, with at least ``GUARD_WORDS`` words, stays within both
-    distances of its language's reference; a null language is compared with all documents. Null and
-    empty texts have no words and fail. References are gathered over all of ``docs`` and are the one
-    broadcast table: at most ``LANGUAGES`` + 1 rows of ``COMMON`` words.
+    A text is kept if it passes the base rules and, when it is long enough for the guards, stays within both
+    distances of its language's reference; languages without one and null are compared with all documents.
+    Null and empty texts have no words and fail. References are gathered over all of ``docs`` and are
+    the one broadcast table: at most ``LANGUAGES`` + 1 rows of ``COMMON`` words. An empty table gives an empty one.
     """
-    refs = settled(references(docs), "references")
-    words = sorted({r["word"] for r in refs.select(F.explode("common").alias("word")).distinct().collect()})
-    names = [r["lang"] for r in refs.select("lang").collect()]
-    own = F.col("row.lang").cast("string")
-    read = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    read = read.withColumn("words", words_of(F.col("row.text").cast("string")))
-    read = read.withColumn("ref_lang", F.when(own.isin(names), own).otherwise(F.lit(ALL)) if names else F.lit(ALL))
-    text = F.col("row.text")
-    known = F.filter(F.transform("words", F.lower), lambda w: w.isin(words) if words else F.lit(False))
-    counts = {**base_statistics(text), "known": known, "_classes": _classes_of(text)}
-    read = read.select("row", "ref_lang", *(c.alias(n) for n, c in counts.items()))
-    refs = F.broadcast(refs.select(F.col("lang").alias("ref_lang"), "classes", "common", "shares"))
-    placed = F.filter(F.transform("known", lambda w: F.array_position("common", w)), lambda i: i > 0)
-
-    def bands(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.lit(COMMON)), lambda k: F.size(F.filter(p, lambda i: i == k)).cast("double"))
-
-    # One entry for each common word and one for all other words.
-    hist = let(let(placed, bands), lambda b: F.concat(b, F.array(F.col("n_words") - F.aggregate(b, F.lit(0.0), lambda s, x: s + x))))
-    padded = F.concat("shares", F.array_repeat(F.lit(0.0), F.lit(COMMON) - F.size("shares")))
-    theirs = let(padded, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, x: a + x)))))
-    out = read.join(refs, "ref_lang", "left")
+    counts = measured(docs, carried)
+    refs = settled(references(counts), "references")
+    names = [r["ref_lang"] for r in refs.select("ref_lang").collect()]
+    own = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit(ALL)) if names else F.lit(ALL)
+    out = counts.withColumn("ref_lang", own).join(F.broadcast(refs), "ref_lang", "left")
+
+    def uses(common: Column) -> Column:
+        at = F.transform(common, lambda w: F.array_position("short.value", w))
+        return F.transform(at, lambda i: F.coalesce(F.get("short.n", (i - 1).cast("int")), F.lit(0)).cast("double"))
+
+    def with_rest(parts: Column, whole: Column) -> Column:
+        return let(parts, lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), whole - F.aggregate(p, F.lit(0.0), lambda s, x: s + x)))))
+
+    mine = with_rest(uses(F.col("common")), F.col("n_words").cast("double"))
+    classes = F.transform("classes", lambda x: x.cast("double"))
     out = out.withColumns(
         {
-            "class_distance": jensen_shannon(_shares(F.transform("_classes", lambda x: x.cast("double"))), _shares(F.col("classes"))),
-            "word_distance": jensen_shannon(_shares(hist), theirs),
+            "class_distance": jensen_shannon(_shares(classes), _shares(F.col("ref_classes"))),
+            "word_distance": jensen_shannon(_shares(mine), with_rest(F.col("shares"), F.lit(1.0))),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    far = (F.col("class_distance") > CLASS_DISTANCE) | (F.col("word_distance") > WORD_DISTANCE)
-    kept = ~failed & ~((F.col("n_words") >= GUARD_WORDS) & F.coalesce(far, F.lit(False)))
+    far = F.lit(False)
+    for words, most_class, most_word in reversed(GUARDS):
+        beyond = (F.col("class_distance") > most_class) | (F.col("word_distance") > most_word)
+        far = F.when(F.col("n_words") >= words, beyond).otherwise(far)
+    kept = ~failed & ~F.coalesce(far, F.lit(False))
+    counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.withColumn("base_failed", failed).withColumn("kept", kept).select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"
+        "row", *counted, "class_distance", "word_distance", "base_failed", "kept"
     )

@@ -62,6 +62,8 @@ _CLASSES = ", ".join(f"LENGTH(regexp_replace(text, '{p.replace(chr(39), chr(39)
 _N = len(st.CLASSES)
 _KNOWN = " + ".join(f"c{i}" for i in range(_N))
 
+_LIMITS = " ".join(f"WHEN n_words >= {n} THEN CASE kind WHEN 'class' THEN {c} ELSE {w} END" for n, c, w in rules.GUARDS)
+
 RULES = rf"""
 WITH docs AS (
   SELECT ROW_NUMBER() OVER () AS n, doc_id, COALESCE(text, '') AS text, COALESCE(lang, '') AS lang FROM documents
@@ -122,7 +124,8 @@ WITH docs AS (
                                      + CASE WHEN q > 0 THEN q * LOG2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d
   FROM (SELECT n, 'class' AS kind, p, q FROM class_terms UNION ALL SELECT n, 'word', p, q FROM word_terms) GROUP BY n, kind
 ), far AS (
-  SELECT n, BOOL_OR(CASE kind WHEN 'class' THEN d > {rules.CLASS_DISTANCE} ELSE d > {rules.WORD_DISTANCE} END) AS far FROM distances GROUP BY n
+  SELECT n, BOOL_OR(d > CASE {_LIMITS} END) AS far
+  FROM distances JOIN classed USING (n) GROUP BY n
 ), judged AS (
   SELECT m.*, LENGTH(regexp_replace(d.text, '{st.SYMBOLS}', '', 'g')) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines,
          COALESCE(n_repeat_words, 0) AS n_repeat_words, COALESCE(far, FALSE) AS far
@@ -132,6 +135,6 @@ WITH docs AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_words >= {rules.GUARD_WORDS} AND far) AS kept
+       NOT base_failed AND NOT far AS kept
 FROM failed
 """

@@ -67,7 +67,27 @@ def repeated_words(words: Column, n: int = NGRAM) -> Column:
     return F.when(F.size(words) < n + 1, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), count))
 
 
-def class_counts(text: Column, length: Column, blanks: Column) -> Column:
-    """Array of long: characters of each of CLASSES, of white space, and of no class."""
-    known = [count_left(text, pattern) for pattern in CLASSES.values()]
-    return let(F.array(*known, blanks), lambda a: F.concat(a, F.array(F.greatest(F.lit(0), length - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)))))
+def class_counts(text: Column, length: Column, blanks: Column, symbols: Column) -> Column:
+    """Array of long: characters of each of CLASSES, of white space, and of no class; ``symbols`` are counted already."""
+    known = [symbols if pattern == SYMBOLS else count_left(text, pattern) for pattern in CLASSES.values()]
+
+    def with_rest(counts: Column) -> Column:
+        rest = length - F.aggregate(counts, F.lit(0).cast("long"), lambda n, x: n + x)
+        return F.concat(counts, F.array(F.greatest(F.lit(0).cast("long"), rest)))
+
+    return let(F.array(*known, blanks), with_rest)
+
+
+def histogram(values: Column) -> Column:
+    """Struct of ``value``, the distinct elements of an array in order, and ``n``, how often each occurs."""
+
+    def heads(sorted_: Column) -> Column:
+        at = F.filter(F.transform(sorted_, lambda x, i: F.when(F.coalesce(x != F.get(sorted_, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
+
+        def both(h: Column) -> Column:
+            n = F.transform(h, lambda i, j: (F.coalesce(F.get(h, j + 1), F.size(sorted_)) - i).cast("long"))
+            return F.struct(F.transform(h, lambda i: F.get(sorted_, i)).alias("value"), n.alias("n"))
+
+        return let(at, both)
+
+    return let(F.array_sort(values), heads)
