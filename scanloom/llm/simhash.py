@@ -93,8 +93,8 @@ def fingerprint_links(nodes: DataFrame, most: int) -> DataFrame:
 
     Two such fingerprints share a variant of a segment. In each variant's bucket every member is
     compared with the bucket's smallest; members near it are linked through it, so that a dense bucket
-    needs no pairs. A member that is not near it is compared with the whole bucket, in the one
-    bucket that comes first for the pair. Both joins are on the variant alone and can be split by
+    needs no pairs. In a bucket of two that is all. In a larger one, a member that is not near the smallest is
+    compared with the whole bucket, if that bucket comes first for the pair. Both joins are on the variant alone and can be split by
     adaptive execution; no bucket is capped and no group is collected.
     """
     if not 0 <= most <= MOST_BITS:
@@ -102,8 +102,11 @@ def fingerprint_links(nodes: DataFrame, most: int) -> DataFrame:
     variants = _variants(nodes)
     centres = variants.groupBy("key").agg(F.min("bits").alias("centre"), F.count(F.lit(1)).alias("n"))
     # Without the hint the planner takes the size before the explode for the size of a side.
-    members = variants.hint("merge").join(centres.where("n > 1").select("key", "centre"), "key")
-    members = settled(members.withColumn("near", _differing("bits", "centre") <= most), "variants")
+    centres = centres.where("n > 1").withColumnRenamed("key", "of")
+    linked = (_differing("bits", "centre") <= most) & (F.col("bits") != F.col("centre"))
+    members = variants.hint("merge").join(centres, (variants["key"] == centres["of"]) & ((F.col("n") > 2) | linked))
+    members = members.select("key", "bits", "centre", (_differing("bits", "centre") <= most).alias("near"))
+    members = settled(members, "variants")
     stars = members.where("near and bits <> centre").select(F.col("bits").alias("u"), F.col("centre").alias("v"))
     far = members.where("not near").select("key", F.col("bits").alias("u"))
     every = members.select("key", F.col("bits").alias("v"), "near")
