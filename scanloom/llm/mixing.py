@@ -8,14 +8,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import ranked
+from scanloom.llm.common import ranked, settled
 
 #: Documents of a source that stay together.
 BLOCK = 32
 #: Slots after which the schedule repeats, unless there are more sources.
 PERIOD = 1000
 #: Documents ordered together when ranks are given.
-BUCKET = 1 << 14
+BUCKET = 1 << 12
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -112,6 +112,13 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` in the order of the mix, split by ranges of slots."""
-    timed = mixed(docs, weights, block)
-    return timed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    """The rows of ``docs`` in the order of the mix, split by ranges of slots.
+
+    Slots are found on ids and sources alone; whole rows move once to meet their slot and once to its range.
+    """
+    at = F.monotonically_increasing_id()
+    numbered = settled(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumn("at", at), "numbered")
+    timed = mixed(numbered.select("row.doc_id", "row.source", "at"), weights, block)
+    timed = settled(timed.select(F.col("row.at").alias("at"), "slot", "place"), "mix")
+    ordered = numbered.join(timed, "at").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    return ordered.select("row.*")
