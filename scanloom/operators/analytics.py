@@ -83,8 +83,11 @@ def period_usage(usage: DataFrame, key: str, period: str) -> DataFrame:
 
 def quota_status(quotas: DataFrame, scans: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Scans since the reset date against the tier's limit."""
-    by_team = scans.filter(F.col("team_id").isNotNull()).join(quotas.select("team_id", "reset_date"), "team_id")
-    used = by_team.groupBy("team_id").agg(F.count_if(F.col("created_at") >= F.col("reset_date")).alias("used"))
+    # Counted by time first: a team with very many scans meets its quota as counts.
+    times = scans.filter(F.col("team_id").isNotNull()).groupBy("team_id", "created_at").agg(F.count("*").alias("n"))
+    by_team = times.join(quotas.select("team_id", "reset_date"), "team_id")
+    since = F.when(F.col("created_at") >= F.col("reset_date"), F.col("n")).otherwise(F.lit(0))
+    used = by_team.groupBy("team_id").agg(F.sum(since).cast("bigint").alias("used"))
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("tier")]
     joined = quotas.join(used, "team_id", "left").na.fill(0, ["used"])
     return joined.select(

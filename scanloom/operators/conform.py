@@ -164,7 +164,7 @@ def report_status(
             "n_unusable",
             F.when(F.col("findings").isNull(), 0).otherwise(F.size("findings")).alias("n_findings"),
         )
-        frames.append(src.sealed(outcome))
+        frames.append(src.sealed(outcome, "scan_id", "tool"))
     return src.union_all(frames)
 
 

@@ -161,8 +161,20 @@ def policy_findings(configs: DataFrame, policies: tuple[Policy, ...]) -> DataFra
 
 
 def version_key(version: Column) -> Column:
-    """Dotted version as integers, which compare element by element."""
-    return F.transform(F.split(version, r"\."), lambda part: part.try_cast("int"))
+    """Comparable form of a dotted version; null for null.
+
+    A leading v and build marks are dropped, missing parts count as zero (1.0 is 1.0.0), parts that are no
+    number as well, and a pre-release (1.0.0-rc1) comes before its release.
+    """
+    bare = F.regexp_replace(F.trim(version), r"^[vV]|\+.*$", "")
+    parts = F.split(F.split(bare, "-", 2)[0], r"\.")
+    numbers = F.transform(parts, lambda part: F.coalesce(part.try_cast("int"), F.lit(0)))
+    used = F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1).otherwise(F.lit(0))))
+    label = F.get(F.split(bare, "-", 2), F.lit(1))
+    key = F.struct(
+        F.slice(numbers, F.lit(1), used).alias("numbers"), label.isNull().alias("released"), F.coalesce(label, F.lit("")).alias("label")
+    )
+    return F.when(version.isNotNull(), key)
 
 
 def advisory_findings(packages: DataFrame, advisories: DataFrame) -> DataFrame:

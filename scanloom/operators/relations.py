@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.credentials import spread_nulls
 
-NEST_LIMIT = 1000
+#: Width of the id range whose children share a list. It fixes the form of the result, whatever the number of children.
+NEST_WIDTH = 1000
 
 
 def to_one(child: DataFrame, column: str, parent: DataFrame, name: str, fields: list[str], key: str = "id") -> DataFrame:
@@ -27,23 +28,24 @@ def to_many(
     name: str,
     fields: list[str],
     key: str = "id",
-    limit: int = NEST_LIMIT,
+    width: int = NEST_WIDTH,
 ) -> DataFrame:
-    """Parents with their children as a list of structs in id order; no children, empty list.
+    """Parents with their children as lists of structs in id order: one row a parent and range of child ids.
 
-    A list never holds more than ``limit`` children. A parent with more gets several rows, one per
-    id range of ``limit`` (column ``chunk``), so nothing is dropped and no group outgrows a task:
-    child ids are unique, which bounds a range by its width.
+    Column ``chunk`` is the child's id divided by ``width``, for all parents alike, so that the form of the
+    result does not depend on its size and a list is bounded by the width of its range. A parent
+    without children has one row with an empty list and chunk 0.
     """
     linked = child.filter(F.col(column).isNotNull()).withColumnRenamed(column, "__fk")
-    crowded = linked.groupBy("__fk").agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
-    chunk = F.when(F.col("__n").isNotNull(), F.floor(F.col("id") / limit)).otherwise(F.lit(0)).cast("bigint")
     members = F.struct("id", *[f for f in fields if f != "id"])
-    nested = (
-        linked.join(crowded, "__fk", "left")
-        .groupBy("__fk", chunk.alias("chunk"))
-        .agg(F.array_sort(F.collect_list(members)).alias(name))
+    nested = linked.groupBy("__fk", F.floor(F.col("id") / width).cast("bigint").alias("chunk")).agg(
+        F.array_sort(F.collect_list(members)).alias(name)
     )
-    joined = parent.join(nested, parent[key] == nested["__fk"], "left").drop("__fk")
+    # An inner join: adaptive execution can split either side where a parent has very many ranges.
+    joined = parent.join(nested, parent[key] == nested["__fk"]).drop("__fk")
+    keys = linked.select("__fk").distinct()
+    childless = parent.join(keys, parent[key] == keys["__fk"], "left_anti")
     empty = F.array().cast(nested.schema[name].dataType)
-    return joined.withColumn(name, F.coalesce(name, empty)).withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    return joined.select(*parent.columns, "chunk", name).unionByName(
+        childless.select(*parent.columns, F.lit(0).cast("bigint").alias("chunk"), empty.alias(name))
+    )

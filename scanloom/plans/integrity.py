@@ -202,7 +202,7 @@ def _many_sql(name, parent, key, child, fk, child_id):
     return f"""
 SELECT p.{key}::INT AS parent_id, '{name}' AS relation, coalesce(chunk, 0) AS chunk, coalesce(ids, '') AS ids FROM {parent} p
 LEFT JOIN (SELECT fk, chunk, string_agg(id, ',' ORDER BY id) AS ids FROM (
-  SELECT fk, id, CASE WHEN count(*) OVER (PARTITION BY fk) > {relations.NEST_LIMIT} THEN id // {relations.NEST_LIMIT} ELSE 0 END AS chunk
+  SELECT fk, id, id // {relations.NEST_WIDTH} AS chunk
   FROM (SELECT {fk} AS fk, {child_id} AS id FROM {child})) GROUP BY fk, chunk) c ON c.fk = p.{key}"""
 
 
@@ -310,10 +310,10 @@ def j3g(spark, d):
 
 @query(
     "j3h_team_with_members",
-    """
-SELECT r_regionkey AS team_id, r_name AS team, coalesce(members, '') AS members FROM region
-LEFT JOIN (SELECT s_nationkey % 4 AS team_id, string_agg(s_suppkey || '/' || CASE WHEN s_suppkey % 3 = 0 THEN 'owner' ELSE 'member' END
-  || '/' || s_name || '/' || lower(s_name) || '@example.com', ',' ORDER BY s_suppkey) AS members FROM supplier GROUP BY 1) m
+    f"""
+SELECT r_regionkey AS team_id, r_name AS team, coalesce(chunk, 0) AS chunk, coalesce(members, '') AS members FROM region
+LEFT JOIN (SELECT s_nationkey % 4 AS team_id, s_suppkey // {relations.NEST_WIDTH} AS chunk, string_agg(s_suppkey || '/' || CASE WHEN s_suppkey % 3 = 0 THEN 'owner' ELSE 'member' END
+  || '/' || s_name || '/' || lower(s_name) || '@example.com', ',' ORDER BY s_suppkey) AS members FROM supplier GROUP BY 1, 2) m
 ON m.team_id = r_regionkey""",
 )
 def j3h(spark, d):
@@ -325,6 +325,6 @@ def j3h(spark, d):
         "/", m["id"].cast("string"), m["role"], m["user"]["name"], m["user"]["email"]
     )
     return nested.select(
-        F.col("id").alias("team_id"), F.col("name").alias("team"),
+        F.col("id").alias("team_id"), F.col("name").alias("team"), "chunk",
         F.array_join(F.transform("members", line), ",").alias("members"),
     )

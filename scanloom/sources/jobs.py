@@ -28,7 +28,9 @@ def parse_jobs(messages: DataFrame, body: str = "body") -> DataFrame:
             F.when(bad.isNull(), job["branch"]).alias("branch"),
             F.when(bad.isNull(), job["token"]).alias("token"),
             F.when(bad.isNull(), job["installationId"]).alias("installation_id"),
-        )
+        ),
+        *others,
+        body,
     )
 
 

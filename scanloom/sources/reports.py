@@ -258,7 +258,7 @@ def read_split(rows: DataFrame, dialect: Dialect, mode: str = "strict") -> DataF
     corrupt = F.col("parsed")["_corrupt_record"].isNotNull() | F.col("parsed").isNull()
     found = parsed.select(*keys, F.col("parsed")["r"].alias("f"), corrupt.alias("corrupt"))
     bad = F.col("corrupt") | F.coalesce(dialect.unusable(F.col("f")), F.lit(True))
-    judged = sealed(found.select(*keys, "f", bad.alias("bad")))
+    judged = sealed(found.select(*keys, "f", bad.alias("bad")), *keys)
     if mode == "strict":
         void = judged.filter("bad").select("scan_id", "tool").distinct()
         return judged.join(void, ["scan_id", "tool"], "left_anti").drop("bad")
@@ -274,14 +274,15 @@ def store_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("append").partitionBy("tool").parquet(path)
 
 
-def sealed(df: DataFrame) -> DataFrame:
-    """Same rows, with a generator on top that filters cannot be pushed through.
+def sealed(df: DataFrame, *plain: str) -> DataFrame:
+    """Same rows, with the columns that are not ``plain`` made by a generator that filters cannot be pushed through.
 
     A filter on a column derived from parsed JSON would otherwise be rewritten in terms of the
-    parse and pushed to the scan, which parses every report again for each mention.
+    parse and pushed to the scan, which parses every report again for each mention. Filters on the
+    plain columns, which the scan has as they are, still reach it.
     """
-    row = F.array(F.struct(*df.columns))
-    return df.select(F.inline_outer(row))
+    derived = F.array(F.struct(*(c for c in df.columns if c not in plain)))
+    return df.select(*plain, F.inline_outer(derived)).select(*df.columns)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

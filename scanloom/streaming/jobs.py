@@ -60,8 +60,6 @@ class JobRun:
     now: Column
     reports_for: Callable[[DataFrame], conform.Reports] | None = None
     skip_tools: Column | None = None
-    # How many earlier batches are searched for finished scans; None searches all.
-    lookback: int | None = None
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """Parse, answer, scan and close one micro-batch."""
@@ -109,8 +107,6 @@ class JobRun:
         if closed is None:
             return jobs.withColumn("finished", F.lit(False))
         earlier = closed.filter((F.col("status") == "completed") & (F.col("batch").cast("bigint") < int(batch)))
-        if self.lookback is not None:
-            earlier = earlier.filter(F.col("batch").cast("bigint") >= int(batch) - self.lookback)
         keys = earlier.select("scan_id").distinct().withColumn("finished", F.lit(True))
         return jobs.join(keys, "scan_id", "left").na.fill(False, ["finished"])
 

@@ -61,21 +61,32 @@ def test_defaults_only_for_absent_columns(spark):
     assert full["created_at"].year == 2024
 
 
-@pytest.mark.parametrize("limit", [1, 7, 1000])
-def test_nested_lists_are_whole_and_bounded(spark, limit):
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_nested_lists_are_whole_and_bounded(spark, width):
     """One parent holds most children; ids have gaps; some children have no or an unknown parent."""
     child = spark.range(0, 3000, 3).select(
         F.col("id"), F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 5 == 0, 2).when(F.col("id") % 7 == 0, 99).alias("fk")
     )
     parent = spark.createDataFrame([(1,), (2,), (3,)], "id INT")
-    rows = relations.to_many(parent, child, "fk", "kids", [], limit=limit).collect()
-    assert max(len(r["kids"]) for r in rows) <= limit
+    rows = relations.to_many(parent, child, "fk", "kids", [], width=width).collect()
+    assert max(len(r["kids"]) for r in rows) <= width
+    assert all(k["id"] // width == r["chunk"] for r in rows for k in r["kids"])
     got = sorted((r["id"], k["id"]) for r in rows for k in r["kids"])
     assert got == sorted((r["fk"], r["id"]) for r in child.filter("fk IN (1, 2)").collect())
     assert [len(r["kids"]) for r in rows if r["id"] == 3] == [0]
     assert len({(r["id"], r["chunk"]) for r in rows}) == len(rows)
 
 
+def test_nested_form_does_not_depend_on_size(spark):
+    """A third of 100,000 children on one parent: the same rows for a range of ids as a small parent has."""
+    child = spark.range(100_000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 500 + 2).alias("fk"))
+    parent = spark.range(1, 503).select("id")
+    rows = relations.to_many(parent, child, "fk", "kids", []).collect()
+    assert {r["chunk"] for r in rows if r["id"] == 1} == set(range(100))
+    assert all(k["id"] // relations.NEST_WIDTH == r["chunk"] for r in rows for k in r["kids"])
+    assert sum(len(r["kids"]) for r in rows) == 100_000
+
+
 def test_to_one_keeps_dangling_and_null(spark):
     child = spark.createDataFrame([(1, 5), (2, None), (3, 6)], "id INT, fk INT")
     parent = spark.createDataFrame([(5, "five")], "id INT, name STRING")

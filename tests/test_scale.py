@@ -122,3 +122,21 @@ def test_plan_shape(spark, no_broadcast, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastExchange", "BatchEvalPython", "ArrowEvalPython"):
         assert operator not in plan
+
+
+def test_plain_columns_reach_the_scan(spark, tmp_path):
+    """A filter on top of a parse reaches the scan when it is on a column the scan has."""
+    from scanloom.sources.jobs import parse_jobs
+
+    spark.createDataFrame([(1, "{}", 5)], "message_id INT, body STRING, arrival INT").write.parquet(f"{tmp_path}/jobs")
+    jobs = parse_jobs(spark.read.parquet(f"{tmp_path}/jobs")).filter("arrival > 3 and scan_id = 'a'")
+    plan = jobs._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(arrival,3)" in plan and plan.count("from_json") == 1
+
+
+def test_versions(spark):
+    order = ["0.9", "1.0.0-rc1", "1.0", "v1.0.1", "1.2", "1.10", "2"]
+    rows = spark.createDataFrame([(v,) for v in reversed(order)], "v STRING")
+    assert [r["v"] for r in rows.orderBy(detect.version_key(F.col("v"))).collect()] == order
+    same = spark.createDataFrame([("1.0", "1.0.0"), ("v1", "1.0"), ("1.0+b1", "1")], "a STRING, b STRING")
+    assert same.filter(detect.version_key(F.col("a")) == detect.version_key(F.col("b"))).count() == 3
