@@ -5,10 +5,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import ranked, settled
+from scanloom.llm.common import ranked, same, settled
 
 #: Documents of a source that stay together.
 BLOCK = 32
@@ -16,6 +17,8 @@ BLOCK = 32
 PERIOD = 1000
 #: Documents ordered together when ranks are given.
 BUCKET = 1 << 12
+#: Slots that a range of the written order has.
+RANGE = 128
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -64,6 +67,59 @@ def schedule(blocks: Mapping[str | None, int]) -> list[str | None]:
     return slots
 
 
+class _Plan:
+    """Shares and schedule of the sources of ``keyed`` rows; a number a source is collected for it."""
+
+    def __init__(self, keyed: DataFrame, weights: Mapping[str | None, float] | None, block: int, period: int) -> None:
+        spark = keyed.sparkSession
+        sizes = {r["source"]: r["n"] for r in keyed.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if weights is None:
+            targets = {s: n**0.5 for s, n in sizes.items()}
+        else:
+            least = min(weights.values(), default=1.0)
+            targets = {s: weights.get(s, least) for s in sizes}
+        blocks = shares(targets, period)
+        order = schedule(blocks)
+        seen: dict[str | None, int] = {}
+        nth = []
+        for source in order:
+            nth.append(seen.get(source, 0))
+            seen[source] = nth[-1] + 1
+        self.block, self.length = block, len(order)
+        self.buckets = max(1, -(-sum(sizes.values()) // BUCKET))
+        # No hints: a row a source or slot, given as Arrow tables, so that the planner knows their size and
+        # broadcasts them while they are small.
+        names, text, number = ["slot_source", "nth", "slot_at"], pa.string(), pa.int32()
+        slots = pa.table([pa.array(order, text), pa.array(nth, number), pa.array(range(len(order)), number)], names)
+        counts = pa.table([pa.array(list(blocks), text), pa.array(list(blocks.values()), number)], ["count_source", "count"])
+        self.slots, self.counts = spark.createDataFrame(slots), spark.createDataFrame(counts)
+
+    def bucketed(self, keyed: DataFrame) -> DataFrame:
+        """Adds ``bucket`` by the first bits of ``key``: buckets follow the order of the keys."""
+        number = F.conv(F.substring("key", 1, 12), 16, 10).cast("long")
+        return keyed.withColumn("bucket", F.floor(number * self.buckets / float(1 << 48)))
+
+    def timed(self, order: DataFrame) -> DataFrame:
+        """Adds ``block``, ``slot`` and ``place`` to rows that have ``source`` and their ``rank`` in it."""
+        columns = order.columns
+        order = order.join(self.counts, F.col("source").eqNullSafe(F.col("count_source")))
+        order = order.withColumn("block", F.floor(F.col("rank") / self.block))
+        order = order.withColumn("in_period", (F.col("block") % F.col("count")).cast("int"))
+        order = order.join(self.slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("in_period") == F.col("nth")))
+        slot = F.floor(F.col("block") / F.col("count")) * self.length + F.col("slot_at")
+        place = F.col("rank") % self.block
+        return order.select(*columns, "block", slot.cast("long").alias("slot"), place.cast("int").alias("place"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        F.col("source").cast("string").alias("source"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.xxhash64(*docs.columns).alias("tie"),
+    )
+
+
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """The struct ``row`` of every row with ``source``, ``block``, ``slot`` and ``place``: sorted by the last two, the mix.
 
@@ -77,48 +133,39 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     Equal ids are ordered by a hash of the whole row; repeated rows stay. Ranks are counted by the first bits of
     the md5, so that a source with a third of all rows is spread. An empty table gives an empty one.
     """
-    whole = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
-        F.col("source").cast("string").alias("source"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
-        F.xxhash64(*docs.columns).alias("tie"),
-    )
-    sizes = {r["source"]: r["n"] for r in whole.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if weights is None:
-        targets = {s: n**0.5 for s, n in sizes.items()}
-    else:
-        least = min(weights.values(), default=1.0)
-        targets = {s: weights.get(s, least) for s in sizes}
-    blocks = shares(targets, period)
-    seen: dict[str | None, int] = {}
-    rows = []
-    for slot, source in enumerate(schedule(blocks)):
-        rows.append((source, blocks[source], seen.get(source, 0), slot))
-        seen[source] = seen.get(source, 0) + 1
-    length = sum(blocks.values())
-    buckets = max(1, -(-sum(sizes.values()) // BUCKET))
-    number = F.conv(F.substring("key", 1, 12), 16, 10).cast("long")
-    parted = whole.withColumn("bucket", F.floor(number * buckets / float(1 << 48)))
-    order = ranked(parted, ["source"], "bucket", ["key", "tie"], "rank")
-    slots = docs.sparkSession.createDataFrame(rows, "slot_source string, per_period int, nth int, slot_at int")
-    # No hints: both tables have a row a source or slot, and the planner broadcasts them only while they are small.
-    counts = docs.sparkSession.createDataFrame(list(blocks.items()), "count_source string, count int")
-    block_at = F.floor(F.col("rank") / block)
-    order = order.join(counts, F.col("source").eqNullSafe(F.col("count_source")))
-    order = order.withColumn("block", block_at).withColumn("in_period", (F.col("block") % F.col("count")).cast("int"))
-    timed = order.join(slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("in_period") == F.col("nth")))
-    slot = F.floor(F.col("block") / F.col("count")) * length + F.col("slot_at")
-    return timed.select("row", "source", "block", slot.cast("long").alias("slot"), (F.col("rank") % block).cast("int").alias("place"))
-
-
-def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+    keyed = _keyed(docs)
+    plan = _Plan(keyed, weights, block, period)
+    order = ranked(plan.bucketed(keyed), ["source"], "bucket", ["key", "tie"], "rank")
+    return plan.timed(order).select("row", "source", "block", "slot", "place")
+
+
+def mixed_order(
+    docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD
+) -> DataFrame:
     """The rows of ``docs`` in the order of the mix, split by ranges of slots.
 
-    Slots are found on ids and sources alone; whole rows move once to meet their slot and once to its range.
+    Slots are found on keys and sources alone. From them comes, for each bucket of a source, a short list of
+    cuts: the first key of each range of slots and its rank. With it a whole row knows its range before it
+    moves, moves once, and is ranked among the rows of its cut. ``docs`` is read again for that and must
+    give the same rows each time. Rows equal in every column stay in one range.
     """
-    at = F.monotonically_increasing_id()
-    numbered = settled(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumn("at", at), "numbered")
-    timed = mixed(numbered.select("row.doc_id", "row.source", "at"), weights, block)
-    timed = settled(timed.select(F.col("row.at").alias("at"), "slot", "place"), "mix")
-    ordered = numbered.join(timed, "at").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
-    return ordered.select("row.*")
+    keyed = _keyed(docs)
+    plan = _Plan(keyed, weights, block, period)
+    narrow = plan.bucketed(keyed.select("source", "key", "tie"))
+    timed = plan.timed(ranked(narrow, ["source"], "bucket", ["key", "tie"], "rank"))
+    firsts = timed.groupBy("source", "bucket", "key", "tie").agg(F.min("rank").alias("rank"), F.min("slot").alias("slot"))
+    ranges = firsts.groupBy("source", "bucket", F.floor(F.col("slot") / RANGE).alias("range")).agg(
+        F.min(F.struct("key", "tie")).alias("first"), F.min("rank").alias("start")
+    )
+    cuts = ranges.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(F.struct("first", "range", "start"))).alias("cuts"))
+    # Written first, so that the planner knows its size and joins it where the rows are while it is small.
+    cuts = settled(cuts, "cuts")
+    whole = plan.bucketed(keyed)
+    cut = F.element_at(F.filter("cuts", lambda c: c["first"] <= F.struct("key", "tie")), -1)
+    found = whole.join(cuts, same(whole, cuts, ["source", "bucket"])).select(
+        "row", whole["source"], whole["bucket"], "key", "tie", cut.alias("cut")
+    )
+    found = found.select("row", "source", "bucket", "key", "tie", "cut.range", "cut.start").repartitionByRange("range")
+    within = Window.partitionBy("range", "source", "bucket").orderBy("key", "tie")
+    order = found.withColumn("rank", F.row_number().over(within) - 1 + F.col("start"))
+    return plan.timed(order).sortWithinPartitions("slot", "place").select("row.*")

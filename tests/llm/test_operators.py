@@ -356,6 +356,19 @@ def test_mixing(spark, folder, messy, empty):
     assert mixing.mixed(messy, {"x": 3.0, "y": 1.0}).count() == messy.count() and mixing.mixed_order(empty).count() == 0
 
 
+def test_written_order_is_the_mix(spark, monkeypatch):
+    """Many ranges and buckets: the rows come as a plain sort of all slots gives them, from one move of whole rows."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    docs = docs.selectExpr("doc_id", "text", "lang", "if(doc_id % 3 > 0, source, null) source", "n_chars")
+    monkeypatch.setattr(mixing, "RANGE", 2)
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    ordered = mixing.mixed_order(docs, block=8)
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    want = mixing.mixed(docs, block=8).orderBy("slot", "place").select("row.*")
+    assert [r.doc_id for r in ordered.collect()] == [r.doc_id for r in want.collect()]
+
+
 # The pipeline
 
 
