@@ -3,6 +3,7 @@
 The stream's checkpoint remembers which messages are done. A micro-batch may be replayed after a
 failure, so each of its outputs is a partition named after the batch id and a replay overwrites it.
 Issues are written before the scan is closed; a reader that follows closed scans never sees half.
+A scan stores all its issues or none: those of a scan that fails stay in the batch's findings.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ MESSAGE = "message_id BIGINT, arrival TIMESTAMP, body STRING"
 
 OUTCOMES = "outcomes"
 DEAD_LETTERS = "dead_letters"
+FINDINGS = "findings"
 ISSUES = "issues"
 SCAN_UPDATES = "scan_updates"
 RESOLVED = "resolved"
 RESOLVED_ROW = (
-    "scan_id STRING, repo_id INT, branch STRING, auth_source STRING, token_state STRING, error STRING,"
+    "job_key STRING, scan_id STRING, repo_id INT, branch STRING, auth_source STRING, token_state STRING, error STRING,"
     " finished BOOLEAN"
 )
 
@@ -36,13 +38,17 @@ def utc(ts: Column) -> Column:
     return F.timestamp_micros(epoch_micros(ts))
 
 
+def job_key() -> Column:
+    """What tells jobs apart: the scan, or the message where it names none, or such jobs would be one."""
+    return F.coalesce(F.col("scan_id"), F.concat(F.lit("message-"), F.col("message_id").cast("string")))
+
+
 def deduplicate(jobs: DataFrame, within: str) -> DataFrame:
     """Drop redeliveries of a scan that arrive within the delay.
 
     Unreadable messages have no scan id and go by their message id, or they would drop each other.
     """
-    key = F.coalesce(F.col("scan_id"), F.concat(F.lit("message-"), F.col("message_id").cast("string")))
-    keyed = jobs.withColumn("__key", key).withWatermark("arrival", within)
+    keyed = jobs.withColumn("__key", job_key()).withWatermark("arrival", within)
     return keyed.dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
@@ -69,27 +75,29 @@ class JobRun:
         self._write(job_source.dead_letters(parsed), DEAD_LETTERS, batch)
 
         # Copies of a job within the batch are one job; jobs finished earlier are not run again.
-        jobs = job_source.readable(parsed)
+        jobs = job_source.readable(parsed).withColumn("job_key", job_key())
         resolved = credentials.resolve(
-            updates.newest(jobs, "scan_id", "arrival"), self.repos, self.installations, self.now
-        ).select("scan_id", "repo_id", "branch", "auth_source", "token_state", "error")
+            updates.newest(jobs, "job_key", "arrival"), self.repos, self.installations, self.now
+        ).select("job_key", "scan_id", "repo_id", "branch", "auth_source", "token_state", "error")
         # Written out once: the steps below start from this table, not from the message stream.
         self._write(self._mark_finished(spark, resolved, batch), RESOLVED, batch)
         todo = spark.read.schema(RESOLVED_ROW).parquet(f"{self.out}/{RESOLVED}/batch={batch}")
 
-        stopped = todo.filter(F.col("error").isNotNull() & ~F.col("finished")).select("scan_id", "error")
-        closed = updates.job_failure(stopped, self.now)
+        stopped = todo.filter(F.col("error").isNotNull() & ~F.col("finished"))
+        # A job that names no scan is answered, but has none to scan for or to close.
+        closed = updates.job_failure(stopped.filter(F.col("scan_id").isNotNull()), self.now)
+        stopped = stopped.select("job_key", "error")
         if self.reports_for is not None:
-            runnable = todo.filter(F.col("error").isNull() & ~F.col("finished"))
+            runnable = todo.filter(F.col("error").isNull() & ~F.col("finished") & F.col("scan_id").isNotNull())
             closed = closed.unionByName(self._scan(spark, runnable, batch))
         self._write(closed, SCAN_UPDATES, batch)
         written = spark.read.schema("scan_id STRING, failed_at STRING").parquet(f"{self.out}/{SCAN_UPDATES}/batch={batch}")
         unusable = written.filter(F.col("failed_at").isin("path", "insert"))
         stopped = stopped.unionByName(
-            unusable.select("scan_id", F.concat(F.lit("unusable issue: "), F.col("failed_at")).alias("error"))
+            unusable.select(F.col("scan_id").alias("job_key"), F.concat(F.lit("unusable issue: "), F.col("failed_at")).alias("error"))
         )
         # Every message is answered, copies included.
-        replies = jobs.select("message_id", "scan_id").join(stopped, "scan_id", "left")
+        replies = jobs.select("message_id", "scan_id", "job_key").join(stopped, "job_key", "left")
         self._write(
             replies.select(
                 "message_id",
@@ -107,22 +115,23 @@ class JobRun:
         if closed is None:
             return jobs.withColumn("finished", F.lit(False))
         earlier = closed.filter((F.col("status") == "completed") & (F.col("batch").cast("bigint") < int(batch)))
-        keys = earlier.select("scan_id").distinct().withColumn("finished", F.lit(True))
-        return jobs.join(keys, "scan_id", "left").na.fill(False, ["finished"])
+        keys = earlier.select(F.col("scan_id").alias("job_key")).distinct().withColumn("finished", F.lit(True))
+        return jobs.join(keys, "job_key", "left").na.fill(False, ["finished"])
 
     def _scan(self, spark: SparkSession, runnable: DataFrame, batch: str) -> DataFrame:
-        """Store the batch's issues and return how its scans end."""
+        """Store the issues of the batch's completed scans and return how its scans end."""
         reports = self.reports_for(runnable)
         issues = conform.all_issues(reports, tools=list(reports) if isinstance(reports, dict) else None)
-        self._write(conform.sink_rows(issues, self.now), ISSUES, batch)
-        # Counted from what was stored: the reports are not parsed again.
-        stored = spark.read.schema(
-            "scan_id STRING, tool STRING, severity STRING, title STRING, description STRING, file_path STRING,"
-            " line_start INT"
-        ).parquet(f"{self.out}/{ISSUES}/batch={batch}")
+        rows = conform.sink_rows(issues, self.now)
+        self._write(rows, FINDINGS, batch)
+        # Judged and stored from what was written: the reports are not parsed again.
+        found = spark.read.schema(rows.schema).parquet(f"{self.out}/{FINDINGS}/batch={batch}")
         skip = F.array().cast("array<string>") if self.skip_tools is None else self.skip_tools
         requested = runnable.select("scan_id", conform.tools_to_run(skip).alias("tools"))
-        return updates.closing(runnable, stored, requested, F.lit(0), self.now)
+        closed = updates.closing(runnable, found, requested, F.lit(0), self.now)
+        failed = closed.filter(F.col("failed_at").isNotNull()).select("scan_id")
+        self._write(found.join(failed, "scan_id", "left_anti"), ISSUES, batch)
+        return closed
 
     def _write(self, rows: DataFrame, name: str, batch: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.out}/{name}/batch={batch}")

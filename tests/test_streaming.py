@@ -105,6 +105,26 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
         ("z", "running", 99),
     ]
     assert first[js.DEAD_LETTERS] == [(5, "no_url")]
+    assert first[js.ISSUES] == [("a", 0)]
+
+
+def test_scan_stores_all_or_nothing(spark, tmp_path):
+    both = json.dumps(json.loads(GOOD) + json.loads(NO_TITLE))
+    b = Bench(spark, tmp_path, [report("a", both), report("b", GOOD)])
+    for minute in (0, 30):
+        deliver(spark, b.inbox, message(1, "a", minute), message(2, "b", minute))
+        b.run()
+    assert b.rows(js.ISSUES, "scan_id", "title") == [("b", "Secret Detected: x")]
+    assert b.rows(js.SCAN_UPDATES, "batch", "scan_id", "failed_at") == sorted([(0, "a", "insert"), (0, "b", None), (1, "a", "insert")])
+
+
+def test_jobs_without_a_scan_are_apart(spark, tmp_path):
+    b = Bench(spark, tmp_path, [report("a", GOOD)])
+    deliver(spark, b.inbox, message(1, None, body="{}"), message(2, None, repoUrl="https://example.com/x"), message(3, None), message(4, "a"))
+    b.run()
+    assert b.rows(js.OUTCOMES, "message_id", "ok") == [(1, False), (2, False), (3, True), (4, True)]
+    assert b.rows(js.DEAD_LETTERS, "message_id", "reason") == [(1, "no_url")]
+    assert b.rows(js.SCAN_UPDATES, "scan_id", "status") == [("a", "completed")]
 
 
 def test_unreadable_messages_do_not_drop_each_other(spark, tmp_path):
