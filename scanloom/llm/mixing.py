@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from scanloom.llm.common import ranked, same, settled
 
 #: Documents of a source that stay together.
 BLOCK = 32
-#: Slots after which the schedule repeats, unless there are more sources.
+#: Slots that are scheduled together; sources that have ended are left out from the next period on.
 PERIOD = 1000
 #: Documents ordered together when ranks are given.
 BUCKET = 1 << 12
@@ -42,33 +43,73 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[st
 
 
 def schedule(blocks: Mapping[str | None, int]) -> list[str | None]:
-    """The source of each slot of a period: of the released blocks the one with the earliest deadline.
+    """The source of each slot of one period, with weight blocks / period: see ``_Run``."""
+    names = sorted(blocks, key=lambda s: (s is None, s))
+    whole = sum(blocks.values())
+    run = _Run([Fraction(blocks[s], whole) for s in names], [blocks[s] for s in names], [0] * len(names))
+    return [names[k] for _, k, _ in run.until(0, whole)]
+
 
-    With weight w = blocks / period, a source's block i is released at floor(i / w) and due at ceil((i + 1) / w).
-    The weights sum to one, so that earliest deadline first meets every deadline and every source is less
-    than one block away from its share at every slot.
+class _Run:
+    """Of the released blocks of all sources the one with the earliest deadline, slot by slot.
+
+    With weight w, a source's block i is released at floor(i / w) and due at ceil((i + 1) / w). The weights are
+    fractions that sum to one, so that earliest deadline first meets every deadline and every source is less
+    than one block away from its share at every slot, however long the run. ``ends`` has the number of blocks
+    of each source, ``done`` how many of them are placed.
     """
-    names = sorted(blocks, key=lambda s: (s is None, s))
-    period = sum(blocks.values())
-    waiting = [(0, -(-period // blocks[s]), k, 0) for k, s in enumerate(names)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    slots = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, due, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, k, i))
-        _, k, i = heapq.heappop(ready)
-        slots.append(names[k])
-        count = blocks[names[k]]
-        if i + 1 < count:
-            release = max(slot + 1, (i + 1) * period // count)
-            heapq.heappush(waiting, (release, -(-(i + 2) * period // count), k, i + 1))
-    return slots
+
+    def __init__(self, weights: list[Fraction], ends: list[int], done: list[int]) -> None:
+        self.up = [w.numerator for w in weights]
+        self.down = [w.denominator for w in weights]
+        self.ends, self.done = ends, list(done)
+
+    def _window(self, k: int, i: int) -> tuple[int, int]:
+        return i * self.down[k] // self.up[k], -(-(i + 1) * self.down[k] // self.up[k])
+
+    def until(self, slot: int, stop: int) -> Iterator[tuple[int, int, int]]:
+        """Slot, source and block of the slots from ``slot`` to before ``stop``, a period.
+
+        A source that ends in the period keeps its slots to the period's end, beyond its last block; later periods
+        leave it out, which takes load away and lets no deadline slip.
+        """
+        waiting = []
+        for k, i in enumerate(self.done):
+            if i < self.ends[k]:
+                release, due = self._window(k, i)
+                if release < stop:
+                    waiting.append((max(slot, release), due, k, i))
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, int]] = []
+        while slot < stop:
+            while waiting and waiting[0][0] <= slot:
+                _, due, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, k, i))
+            if not ready:
+                if not waiting:
+                    return
+                slot = waiting[0][0]
+                continue
+            _, k, i = heapq.heappop(ready)
+            yield slot, k, i
+            self.done[k] = i + 1
+            slot += 1
+            release, due = self._window(k, i + 1)
+            if release < stop:
+                heapq.heappush(waiting, (max(slot, release), due, k, i + 1))
+
+    def following(self, slot: int) -> int | None:
+        """The first slot from ``slot`` on in which a block is released; None after the last."""
+        open_ = [self._window(k, i)[0] for k, i in enumerate(self.done) if i < self.ends[k]]
+        return max(slot, min(open_)) if open_ else None
 
 
 class _Plan:
-    """Shares and schedule of the sources of ``keyed`` rows; a number a source is collected for it."""
+    """Schedule of the sources of ``keyed`` rows; a number a source is collected for it.
+
+    The driver runs through the schedule once and keeps only how many blocks each source has placed at the start of
+    each stretch of some periods; tasks run the stretches again and write the slots of all blocks.
+    """
 
     def __init__(self, keyed: DataFrame, weights: Mapping[str | None, float] | None, block: int, period: int) -> None:
         spark = keyed.sparkSession
@@ -78,21 +119,46 @@ class _Plan:
         else:
             least = min(weights.values(), default=1.0)
             targets = {s: weights.get(s, least) for s in sizes}
-        blocks = shares(targets, period)
-        order = schedule(blocks)
-        seen: dict[str | None, int] = {}
-        nth = []
-        for source in order:
-            nth.append(seen.get(source, 0))
-            seen[source] = nth[-1] + 1
-        self.block, self.length = block, len(order)
+        if any(not w > 0 for w in targets.values()):
+            raise ValueError("weights must be positive")
+        names = sorted(targets, key=lambda s: (s is None, s))
+        total = sum((Fraction(targets[s]) for s in names), Fraction(0))
+        exact = [Fraction(targets[s]) / total for s in names]
+        ends = [-(-sizes[s] // block) for s in names]
+        period = max(period, len(names))
+        self.block = block
         self.buckets = max(1, -(-sum(sizes.values()) // BUCKET))
-        # No hints: a row a source or slot, given as Arrow tables, so that the planner knows their size and
-        # broadcasts them while they are small.
-        names, text, number = ["slot_source", "nth", "slot_at"], pa.string(), pa.int32()
-        slots = pa.table([pa.array(order, text), pa.array(nth, number), pa.array(range(len(order)), number)], names)
-        counts = pa.table([pa.array(list(blocks), text), pa.array(list(blocks.values()), number)], ["count_source", "count"])
-        self.slots, self.counts = spark.createDataFrame(slots), spark.createDataFrame(counts)
+        # A stretch has so many slots that the numbers kept of it are few beside its blocks.
+        stretch = max(1, -(-16 * len(names) // period)) * 16
+        run = _Run(exact, ends, [0] * len(names))
+        starts: list[tuple[list[int], list[int], list[int]]] = []
+        slot, left = run.following(0), 0
+        while slot is not None:
+            slot -= slot % period
+            if not left:
+                starts.append(([], [k for k, i in enumerate(run.done) if i < ends[k]], [i for k, i in enumerate(run.done) if i < ends[k]]))
+                left = stretch
+            starts[-1][0].append(slot)
+            for _ in run.until(slot, slot + period):
+                pass
+            slot, left = run.following(slot + period), left - 1
+        table = pa.table([pa.array(c, pa.list_(pa.int64())) for c in zip(*starts, strict=True)] if starts else [pa.array([], pa.list_(pa.int64()))] * 3, ["at", "source", "done"])
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, sources, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    done = list(ends)
+                    for k, i in zip(sources, before, strict=True):
+                        done[k] = i
+                    again = _Run(exact, ends, done)
+                    rows = [(names[k], i, t) for a in at for t, k, i in again.until(a, a + period) if i < ends[k]]
+                    columns = zip(*rows, strict=True) if rows else ([], [], [])
+                    kinds = (pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["slot_source", "nth", "slot"])
+
+        # Written first, so that the planner knows its size and broadcasts it only while it is small.
+        sent = spark.createDataFrame(table, "at array<long>, source array<long>, done array<long>")
+        self.slots = settled(sent.repartition(max(1, min(len(starts), 200))).mapInArrow(apply, "slot_source string, nth long, slot long"), "slots")
 
     def bucketed(self, keyed: DataFrame) -> DataFrame:
         """Adds ``bucket`` by the first bits of ``key``: buckets follow the order of the keys."""
@@ -102,13 +168,9 @@ class _Plan:
     def timed(self, order: DataFrame) -> DataFrame:
         """Adds ``block``, ``slot`` and ``place`` to rows that have ``source`` and their ``rank`` in it."""
         columns = order.columns
-        order = order.join(self.counts, F.col("source").eqNullSafe(F.col("count_source")))
         order = order.withColumn("block", F.floor(F.col("rank") / self.block))
-        order = order.withColumn("in_period", (F.col("block") % F.col("count")).cast("int"))
-        order = order.join(self.slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("in_period") == F.col("nth")))
-        slot = F.floor(F.col("block") / F.col("count")) * self.length + F.col("slot_at")
-        place = F.col("rank") % self.block
-        return order.select(*columns, "block", slot.cast("long").alias("slot"), place.cast("int").alias("place"))
+        order = order.join(self.slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("nth")))
+        return order.select(*columns, "block", "slot", (F.col("rank") % self.block).cast("int").alias("place"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -124,9 +186,9 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     """The struct ``row`` of every row with ``source``, ``block``, ``slot`` and ``place``: sorted by the last two, the mix.
 
     A source's documents are ordered by md5 of their id and cut into blocks of ``block`` documents; block
-    i of a source runs in slot ``slot``, a multiple of the period plus its slot in the schedule of one period.
-    While all sources last, each is less than a block away from its weight at every slot. When a source has
-    ended its slots stay empty and the others keep their proportions: no row is dropped or repeated.
+    i of a source runs in slot ``slot``. The weights are exact over the whole run: while a source lasts it is less than
+    a block away from its weight at every slot, whatever the weight and the number of sources. When a source has
+    ended its share of the slots stays empty and the others keep their proportions: no row is dropped or repeated.
 
     ``weights`` names the target weight of each source; sources without one get the smallest weight named.
     None: the square root of each source's number of documents. A null source is a source of its own.
@@ -153,11 +215,17 @@ def mixed_order(
     plan = _Plan(keyed, weights, block, period)
     narrow = plan.bucketed(keyed.select("source", "key", "tie"))
     timed = plan.timed(ranked(narrow, ["source"], "bucket", ["key", "tie"], "rank"))
-    firsts = timed.groupBy("source", "bucket", "key", "tie").agg(F.min("rank").alias("rank"), F.min("slot").alias("slot"))
+    firsts = timed.groupBy("source", "bucket", "key", "tie").agg(
+        F.min("rank").alias("rank"), F.min("slot").alias("slot"), F.min("block").alias("block")
+    )
+    inside = F.struct("block", F.pmod("slot", F.lit(RANGE)).cast("short").alias("slot"))
     ranges = firsts.groupBy("source", "bucket", F.floor(F.col("slot") / RANGE).alias("range")).agg(
-        F.min(F.struct("key", "tie")).alias("first"), F.min("rank").alias("start")
+        F.min(F.struct("key", "tie")).alias("first"), F.min("rank").alias("start"), F.sort_array(F.collect_set(inside)).alias("blocks")
     )
-    cuts = ranges.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(F.struct("first", "range", "start"))).alias("cuts"))
+    # The blocks of a cut and their slots in its range go along with each row, a few bytes a block.
+    nths = F.transform("blocks", lambda b: (b["block"] - F.get("blocks", F.lit(0))["block"]).cast("int"))
+    cut = F.struct("first", "range", "start", nths.alias("nths"), F.col("blocks.slot").alias("slots"))
+    cuts = ranges.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
     # Written first, so that the planner knows its size and joins it where the rows are while it is small.
     cuts = settled(cuts, "cuts")
     whole = plan.bucketed(keyed)
@@ -165,7 +233,11 @@ def mixed_order(
     found = whole.join(cuts, same(whole, cuts, ["source", "bucket"])).select(
         "row", whole["source"], whole["bucket"], "key", "tie", cut.alias("cut")
     )
-    found = found.select("row", "source", "bucket", "key", "tie", "cut.range", "cut.start").repartitionByRange("range")
+    found = found.select("row", "source", "bucket", "key", "tie", "cut.range", "cut.start", "cut.nths", "cut.slots").repartitionByRange("range")
     within = Window.partitionBy("range", "source", "bucket").orderBy("key", "tie")
     order = found.withColumn("rank", F.row_number().over(within) - 1 + F.col("start"))
-    return plan.timed(order).sortWithinPartitions("slot", "place").select("row.*")
+    nth = F.floor(F.col("rank") / block) - F.floor(F.col("start") / block)
+    # Only equal rows can be of a block that the cut does not list: they stay in the one before.
+    slot = F.element_at("slots", F.size(F.filter("nths", lambda n: n <= nth)))
+    placed = order.withColumn("slot", F.col("range") * RANGE + slot).withColumn("place", F.col("rank") % block)
+    return placed.sortWithinPartitions("slot", "place").select("row.*")

@@ -52,3 +52,30 @@ def test_near_copies_at_the_threshold_go(spark):
     want = jaccard_stays(texts)
     assert len(want) < len(texts) - 250
     assert want <= stays and len(stays - want) <= 3
+
+
+def test_weights_are_exact_over_many_periods(spark):
+    """Deviation from the given weights, tiny ones too, at every slot of a run of several periods."""
+    sizes = {"a": 1500, "b": 3000, "c": 900, "tiny": 5}
+    weights = {"a": 0.29991, "b": 0.52, "c": 0.17989, "tiny": 0.0002}
+    docs = spark.createDataFrame([(f"{s}{k}", s) for s, n in sizes.items() for k in range(n)], "doc_id string, source string")
+    rows = mixing.mixed(docs, weights, block=1, period=100).collect()
+    assert len(rows) == sum(sizes.values()) and {(r.source, r.block) for r in rows} == {(s, k) for s, n in sizes.items() for k in range(n)}
+    total = sum(weights.values())
+    at = {r.slot: r.source for r in rows}
+    assert len(at) == len(rows)
+    done = Counter()
+    for t in range(max(at) + 1):
+        done[at.get(t)] += 1
+        assert all(abs(done[s] - w / total * (t + 1)) < 1 + 1e-6 for s, w in weights.items() if done[s] < sizes[s])
+
+
+def test_weights_hold_with_more_than_a_thousand_sources(spark):
+    """A source with a third of the weight gets a third of the slots beside 1,200 others."""
+    rows = [(f"big{k}", "big") for k in range(600)] + [(f"s{j}.{k}", f"s{j}") for j in range(1200) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string")
+    weights = {"big": 600.0, **{f"s{j}": 1.0 for j in range(1200)}}
+    got = mixing.mixed(docs, weights, block=1).collect()
+    slots = sorted(r.slot for r in got if r.source == "big")
+    assert len(got) == len(rows) and all(abs(k + 1 - (t + 1) / 3) < 1 for k, t in enumerate(slots))
+    assert len({r.slot for r in got}) == len(rows)
