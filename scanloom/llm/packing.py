@@ -6,11 +6,12 @@ import bisect
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,12 +92,33 @@ def token_bytes(text: str, path: str) -> bytes:
     return b"".join(map(known.__getitem__, text.encode().split())) + END.to_bytes(4, "little")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+def file_order(docs: DataFrame) -> DataFrame:
+    """Columns ``doc_id``, ``text`` with ``part`` and ``nth``, which sort the rows of ``docs`` as they were written.
+
+    A scan deals the files out by size, so that rows read again come in another order: their order is that of the
+    part numbers and names of the files and of the rows in them. ``docs`` must be read from files as they are;
+    a table that no file holds keeps its own order. A part has 65,536 rows at most.
+    """
+    try:
+        own = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        own = docs.select("doc_id", "text", at.alias("at")).select(
+            "doc_id", "text", F.shiftright("at", 33).cast("string").alias("file"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")
+        )
+    number = F.lpad(F.regexp_extract("file", r"(\d+)", 1), 12, "0")
+    within = F.lpad(F.shiftright("nth", 16).cast("string"), 12, "0")
+    return own.select("doc_id", "text", F.concat_ws("/", number, "file", within).alias("part"), "nth")
+
+
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True, carried: Sequence[str] = ()
+) -> DataFrame:
     """Columns ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids``: the pieces of every row.
 
     A document's ids end with id 0. Only documents longer than ``capacity`` are cut, every ``capacity``
     tokens. Null and empty texts give one piece, the single id 0. ``ids`` (binary, little-endian 32-bit)
-    is null unless ``keep_ids``. Columns other than doc_id and text are not read.
+    is null unless ``keep_ids``. Columns other than doc_id, text and those ``carried`` are not read.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,18 +126,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                of = []
+                for nth, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
                     ids = token_bytes(text.as_py() or "", tokenizer)
                     for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[a : a + 4 * capacity]
                         rows.append((doc_id, piece, a // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None))
-                columns = zip(schema, zip(*rows, strict=True), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in columns], schema=schema)
+                        of.append(nth)
+                columns = [pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)]
+                columns += [part.column(2 + k).take(pa.array(of)) for k in range(len(carried))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, *carried])
 
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32")), ("ids", pa.binary())]
     schema = pa.schema(fields)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(apply, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+    kinds = ", ".join([kinds, *(f"`{n}` {t}" for n, t in docs.select(*carried).dtypes)])
+    return narrow.mapInArrow(apply, kinds)
 
 
 class _Bins:
@@ -259,6 +286,24 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     return assigned(place, plan(lengths, capacity))
 
 
+def packed_in_order(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
+    """Like ``packed``, by the order in which the rows of ``docs`` were written (see ``file_order``).
+
+    Pieces of equal length keep that order, and sequences are numbered in the order of their first pieces: whoever
+    reads sequences by number reads documents as near to the written order as the packing allows.
+    """
+    pieces = settled(token_pieces(file_order(docs), tokenizer, capacity, keep_ids, ["part", "nth"]), "pieces")
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    narrow = pieces if keep_ids else pieces.drop("ids")
+    place = ranked(narrow, ["length"], "part", ["nth", "piece"], "rank")
+    place = settled(assigned(place, plan(lengths, capacity)), "places")
+    first = place.groupBy("sequence_id").agg(F.min(F.struct("part", "nth", "piece")).alias("first"))
+    first = settled(first.select("sequence_id", "first.*"), "firsts")
+    numbers = ranked(first, [], "part", ["nth", "piece"], "number").select(F.col("sequence_id").alias("of"), "number")
+    columns = [F.col("number").alias(c) if c == "sequence_id" else F.col(c) for c in place.columns if c not in ("part", "nth")]
+    return place.join(numbers, F.col("sequence_id") == F.col("of")).select(*columns)
+
+
 def sequences(packed_pieces: DataFrame) -> DataFrame:
     """Columns ``sequence_id``, ``doc_ids``, ``offsets``, ``ids``: the token ids of each sequence, from ``packed`` pieces with ids."""
     one = F.struct("offset", "doc_id", "piece", "ids")

@@ -79,3 +79,29 @@ def test_weights_hold_with_more_than_a_thousand_sources(spark):
     slots = sorted(r.slot for r in got if r.source == "big")
     assert len(got) == len(rows) and all(abs(k + 1 - (t + 1) / 3) < 1 for k, t in enumerate(slots))
     assert len({r.slot for r in got}) == len(rows)
+
+
+def test_packing_keeps_the_written_order(spark, folder):
+    """A mix in several files, the largest last: ties and sequence numbers follow the order that was written."""
+    rows = [(k, "one two three" if k % 4 else " ".join(["word"] * (40 + k % 7))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    # Part 0 has one row, part 1 ten, part 2 the others.
+    cut = docs.selectExpr("*", "if(doc_id < 1, 0, if(doc_id < 11, 1, 2)) as p").repartitionByRange(3, "p").sortWithinPartitions("doc_id").drop("p")
+    got = corpus_pipeline.pack(spark, settled(cut, "test-mix"), "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    first = {}
+    lengths = defaultdict(list)
+    for r in got:
+        first[r.sequence_id] = min(r.doc_id, first.get(r.sequence_id, r.doc_id))
+        lengths[r.length].append((r.doc_id, r.sequence_id, r.offset))
+    assert sorted(first) == list(range(len(first)))
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
+    places = {(r.sequence_id, r.offset): r.length for r in got}
+    assert len(places) == 3000
+    # The first of the written order opens the first sequence, and the same rows in another order do not give the same places.
+    assert first[0] == 0
+    back = settled(cut.orderBy("doc_id", ascending=False).coalesce(1), "test-back")
+    other = {r.doc_id: r.sequence_id for r in corpus_pipeline.pack(spark, back, "").collect()}
+    assert other != {r.doc_id: r.sequence_id for r in got}
+    plain = packing.packed(settled(cut, "test-mix"), word_tokenizer(), keep_ids=False)
+    assert plain.columns == [c for c in got[0].__fields__]
