@@ -15,8 +15,10 @@ REPEATED_PERCENT = 30
 #: Common words of a language: its most frequent words of at most so many letters.
 COMMON = 32
 SHORT = 4
-#: Languages with a reference of their own, by number of words; others use the reference of all documents.
+#: Bound of the SQL twin alone: its references are those of the languages with most words.
 LANGUAGES = 64
+#: Words that all texts of a language must have together to make a reference; below, distances do not judge its texts.
+REFERENCE_WORDS = 5000
 ALL = ""
 #: (words from which they hold, largest class distance, largest word distance): distances are from 0 to 1 and
 #: scatter more in short texts. Texts with fewer words than any guard are not judged by distances.
@@ -65,8 +67,8 @@ def references(counts: DataFrame) -> DataFrame:
     """Columns ``ref_lang``, ``ref_classes``, ``common``, ``shares``: the reference of each language of ``measured`` rows.
 
     Counts are sums over all texts. ``common`` are the language's most frequent words of one to four
-    letters, ``shares`` their shares of its words. At most ``LANGUAGES`` languages have a row, the ones with
-    most words, besides the row of all documents (language ``""``): the table's size is bounded.
+    letters, ``shares`` their shares of its words. Every language of ``REFERENCE_WORDS`` words or more has a row, besides
+    the row of all documents (language ``""``): no language's row depends on how many others there are.
     """
     names = [f"_{i}" for i in range(len(st.CLASSES) + 2)]
     sums = [F.sum(F.get("classes", F.lit(i))).alias(n) for i, n in enumerate(names)]
@@ -74,7 +76,7 @@ def references(counts: DataFrame) -> DataFrame:
     pairs = counts.select("lang", F.explode(F.arrays_zip(F.col("short.value").alias("word"), F.col("short.n").alias("n"))).alias("w"))
     words = pairs.groupBy("lang", F.col("w.word").alias("word")).agg(F.sum("w.n").alias("n"))
     words = settled(words, "words")
-    own = totals.where(F.col("lang") != ALL).orderBy(F.desc("n_words"), "lang").limit(LANGUAGES)
+    own = totals.where((F.col("lang") != ALL) & (F.col("n_words") >= REFERENCE_WORDS))
     every = totals.agg(*(F.sum(n).alias(n) for n in ("n_words", *names))).select(F.lit(ALL).alias("lang"), "n_words", *names)
     chosen = own.union(every.where(F.col("n_words").isNotNull()))
     all_words = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
@@ -112,15 +114,14 @@ def judged(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
     """The rows of ``measured`` with ``class_distance``, ``word_distance``, ``base_failed`` and ``kept``.
 
     A text is kept if it passes the base rules and, when it is long enough for the guards, stays within both
-    distances of its language's reference; languages without one and null are compared with all documents.
-    Null and empty texts have no words and fail. References are gathered over all of ``docs`` and are
-    the one broadcast table: at most ``LANGUAGES`` + 1 rows of ``COMMON`` words. An empty table gives an empty one.
+    distances of its language's reference. A null language is compared with all documents; a language of fewer than
+    ``REFERENCE_WORDS`` words has no reference, its texts have null distances and the base rules alone judge them.
+    Null and empty texts have no words and fail. References are gathered over all of ``docs``; adaptive execution
+    broadcasts them while they are small, and else splits hot languages. An empty table gives an empty one.
     """
     counts = measured(docs, carried)
     refs = settled(references(counts), "references")
-    names = [r["ref_lang"] for r in refs.select("ref_lang").collect()]
-    own = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(F.lit(ALL)) if names else F.lit(ALL)
-    out = counts.withColumn("ref_lang", own).join(F.broadcast(refs), "ref_lang", "left")
+    out = counts.join(refs, F.col("lang") == F.col("ref_lang"), "left")
 
     def uses(common: Column) -> Column:
         at = F.transform(common, lambda w: F.array_position("short.value", w))
@@ -130,11 +131,12 @@ def judged(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
         return let(parts, lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), whole - F.aggregate(p, F.lit(0.0), lambda s, x: s + x)))))
 
     mine = with_rest(uses(F.col("common")), F.col("n_words").cast("double"))
+    has = F.col("ref_lang").isNotNull()
     classes = F.transform("classes", lambda x: x.cast("double"))
     out = out.withColumns(
         {
-            "class_distance": jensen_shannon(_shares(classes), _shares(F.col("ref_classes"))),
-            "word_distance": jensen_shannon(_shares(mine), with_rest(F.col("shares"), F.lit(1.0))),
+            "class_distance": F.when(has, jensen_shannon(_shares(classes), _shares(F.col("ref_classes")))),
+            "word_distance": F.when(has, jensen_shannon(_shares(mine), with_rest(F.col("shares"), F.lit(1.0)))),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))

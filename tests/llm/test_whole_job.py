@@ -105,3 +105,23 @@ def test_packing_keeps_the_written_order(spark, folder):
     assert other != {r.doc_id: r.sequence_id for r in got}
     plain = packing.packed(settled(cut, "test-mix"), word_tokenizer(), keep_ids=False)
     assert plain.columns == [c for c in got[0].__fields__]
+
+
+def test_every_language_has_its_own_reference(spark):
+    """Seventy languages of words of their own: clean texts stay in each, also in the smallest, and none judges itself alone."""
+    rng = random.Random(8)
+    rows = []
+    for lang in range(70):
+        letters = "".join(chr(0x61 + (lang * 7 + k) % 26) for k in range(4))
+        common = [letters[:n] + letters[k % 4] for k, n in enumerate([1, 2, 3, 2, 1, 3])]
+        for _ in range(55 if lang % 2 else 70):
+            text = " ".join(rng.choice(common) if rng.random() < 0.6 else letters + str(rng.randrange(10**6)) for _ in range(100))
+            rows.append((len(rows), text, f"l{lang}"))
+    junk = " ".join(f"%{k}#" for k in range(200))
+    rows.append((-1, junk, "rare"))
+    rows.append((-2, junk, "l1"))
+    got = {r["row"].doc_id: r for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].kept for i, _, _ in rows if i >= 0)
+    # A language below the least number of words has no distances; junk among many goes.
+    assert got[-1].class_distance is None and got[-1].word_distance is None and not got[-2].kept
