@@ -43,15 +43,21 @@ def draw(sizes: np.ndarray, wanted: np.ndarray, rng: np.random.Generator) -> np.
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """One draw; beyond numpy's limit of 10**9 rows, of the normal law with the same mean and deviation."""
+    """One draw; beyond numpy's limit of 10**9 rows by inversion, over 12 deviations and 200 counts to each side of the mode."""
     if not good or not drawn:
         return 0
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, drawn))
-    # Sums of the matrix stay exact; only the law of one count is rounded.
     share = good / (good + bad)
     deviation = (drawn * share * (1 - share) * (good + bad - drawn) / max(1, good + bad - 1)) ** 0.5
-    return int(min(good, drawn, max(0, drawn - bad, round(rng.normal(drawn * share, deviation)))))
+    mode, width = (drawn + 1) * (good + 1) // (good + bad + 2), int(12 * deviation) + 200
+    low, high = max(0, drawn - bad, mode - width), min(good, drawn, mode + width)
+    k = np.arange(low, high, dtype=np.float64)
+    # Logarithms of the ratio of each count's probability to the one before.
+    steps = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(below, rng.random() * below[-1], side="right"))
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:

@@ -3,8 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 import corpus_pipeline
-from scanloom.llm import mixing, packing, rules, shingles
+from scanloom.llm import mixing, packing, rules, sharding, shingles
 from scanloom.llm.common import settled
 from scanloom.llm.queries import read, word_tokenizer
 
@@ -125,3 +127,14 @@ def test_every_language_has_its_own_reference(spark):
     assert all(got[i].kept for i, _, _ in rows if i >= 0)
     # A language below the least number of words has no distances; junk among many goes.
     assert got[-1].class_distance is None and got[-1].word_distance is None and not got[-2].kept
+
+
+def test_counts_beyond_the_limit_are_hypergeometric():
+    """Small expected counts in more than 10**9 rows: the share of each count, and the extremes."""
+    rng = np.random.default_rng(4)
+    drawn = Counter(sharding._hypergeometric(rng, 10, 2 * 10**9, 2 * 10**8) for _ in range(8000))
+    for k, share in enumerate([0.9**10, 10 * 0.1 * 0.9**9, 45 * 0.01 * 0.9**8]):
+        assert abs(drawn[k] / 8000 - share) < 0.02
+    assert sharding._hypergeometric(rng, 10, 2 * 10**9, 2 * 10**9 + 10) == 10
+    large = [sharding._hypergeometric(rng, 10**9, 10**9, 10**8) for _ in range(200)]
+    assert abs(np.mean(large) - 5 * 10**7) < 2000 and 4000 < np.std(large) < 5700
