@@ -56,6 +56,26 @@ def ranked(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str
     return running(df, group, bucket, order, F.lit(1), name)
 
 
+def placed(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` settled in the order given, with ``name``: the 0-based place of each row. Rows equal in the order go in any.
+
+    One range exchange; equal rows are spread over tasks. A row's place is its place in its task plus the rows of the
+    tasks before: prefix sums over a number a task.
+    """
+    ordered = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").drop("_tie")
+    kept = settled(ordered.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    task = F.shiftright("_at", 33)
+    starts, start = [], 0
+    for row in kept.groupBy(task.alias("task")).count().orderBy("task").collect():
+        starts.append((row.task, start))
+        start += row["count"]
+    # A row a task, so that it is small enough to be sent to each.
+    bases = df.sparkSession.createDataFrame(starts, "_task long, _base long")
+    joined = kept.join(F.broadcast(bases), task == F.col("_task"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.select(*df.columns, (F.col("_base") + within).alias(name))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import chat, classifier, lines, mixing, packing, rules, sharding, simhash, suffixes, vectors
-from scanloom.llm.sql import CHAT, LINES, RULES
+from scanloom.llm import centroids, chat, classifier, lines, mixing, packing, resampling, rules, sharding, simhash, suffixes, tokenfiles, vectors
+from scanloom.llm.sql import CENTROIDS, CHAT, LINES, RESAMPLING, RULES
+from scanloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Queries without an entry are tested against brute force.
-ORACLES: dict[str, str] = {"op2_chat_rotation": CHAT, "op6_line_dedup": LINES, "op7_quality_rules": RULES}
+ORACLES: dict[str, str] = {
+    "op2_chat_rotation": CHAT,
+    "op6_line_dedup": LINES,
+    "op7_quality_rules": RULES,
+    "op12_importance_resampling": RESAMPLING,
+    "op13_centroid_clustering": CENTROIDS,
+}
 SHARD_COUNT = 24
 
 
@@ -31,6 +38,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @_query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), word_tokenizer(), keep_ids=False)
@@ -100,3 +113,31 @@ def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "place")
+
+
+@_query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    tokenfiles.write(read(spark, sf_dir, "documents"), byte_tokenizer(), path)
+    return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(read(spark, sf_dir, "embeddings"))
+    known = [F.struct(F.lit(n).cast("long").alias("n"), F.lit(centroids.digest(c)).alias("digest")) for n, c in zip(found.inertias, found.centroids)]
+    of = F.array(*known)[F.col("cluster")] if known else F.struct(F.lit(0).cast("long").alias("n"), F.lit("").alias("digest"))
+    return found.rows.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        of["n"].alias("cluster_inertia"),
+        F.lit(sum(found.inertias)).cast("long").alias("inertia"),
+        of["digest"].alias("centroid_sha256"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scanloom.llm import centroids as ct
+from scanloom.llm import resampling as rs
 from scanloom.llm import rules
 from scanloom.llm import statistics as st
 
@@ -138,3 +140,78 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND NOT far AS kept
 FROM failed
 """
+
+RESAMPLING = rf"""
+WITH crc_table AS (
+  SELECT LIST(list_reduce(list_prepend(i, range(8)), lambda acc, x: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), texts AS (
+  SELECT 's' AS side, ROW_NUMBER() OVER () AS n, doc_id, text FROM documents
+  UNION ALL SELECT 't', ROW_NUMBER() OVER (), NULL, text FROM benchmark
+), split AS (
+  SELECT side, n, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts
+), used AS (
+  SELECT side, n, word, COUNT(*) AS k FROM (SELECT side, n, UNNEST(words) AS word FROM split) GROUP BY side, n, word
+), spelled AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM used)
+), bytes AS (
+  SELECT word, list_transform(range(LENGTH(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM spelled
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295) % {rs.BUCKETS} AS bucket
+  FROM bytes, crc_table
+), totals AS (
+  SELECT bucket, COALESCE(SUM(k) FILTER (WHERE side = 's'), 0) AS s, COALESCE(SUM(k) FILTER (WHERE side = 't'), 0) AS t
+  FROM used JOIN hashed USING (word) GROUP BY bucket
+), sides AS (
+  SELECT SUM(s) AS s_all, SUM(t) AS t_all FROM totals
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + {rs.BUCKETS}) AS DOUBLE) / CAST((s + 1) * (t_all + {rs.BUCKETS}) AS DOUBLE))) AS BIGINT) AS gain
+  FROM totals, sides
+), weights AS (
+  SELECT n, CAST(floor(CAST(SUM(k * gain) AS DOUBLE) / SUM(k)) AS BIGINT) AS weight
+  FROM used JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 's' GROUP BY n
+), scored AS (
+  SELECT doc_id, len(words) AS n_features, COALESCE(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('{rs.SEED}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM split LEFT JOIN weights USING (n) WHERE side = 's'
+), summed AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, n_features >= {rs.LEAST_WORDS} AS able FROM scored
+), placed AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         SUM(CASE WHEN able THEN 1 ELSE 0 END) OVER () * {rs.PERCENT} // 100 AS draw
+  FROM summed
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN able AND place <= draw THEN place END AS BIGINT) AS rank FROM placed
+"""
+
+
+def _round(k: int) -> str:
+    """The assignment to the centroids c{k}, and the centroids after it."""
+    return f"""
+), a{k} AS MATERIALIZED (
+  SELECT n, vec_id, v, list_min(list_transform(range(len(cs)), lambda i: {{'d': list_sum(list_transform(list_zip(v, cs[i + 1]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'i': i}})) AS best
+  FROM whole, (SELECT LIST(c ORDER BY k) AS cs FROM c{k})
+), s{k} AS (
+  SELECT k, LIST(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY at) AS c
+  FROM (SELECT best.i AS k, at, SUM(x) AS s, COUNT(*) AS n FROM (SELECT best, UNNEST(v) AS x, UNNEST(range(len(v))) AS at FROM a{k}) GROUP BY best.i, at)
+  GROUP BY k
+), c{k + 1} AS MATERIALIZED (
+  SELECT o.k, COALESCE(s.c, o.c) AS c FROM c{k} o LEFT JOIN s{k} s USING (k)"""
+
+
+CENTROIDS = f"""
+WITH whole AS MATERIALIZED (
+  SELECT ROW_NUMBER() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({ct.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {ct.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {ct.DIMENSIONS}
+), c0 AS MATERIALIZED (
+  SELECT ROW_NUMBER() OVER (ORDER BY sha256('{ct.SEED}:' || COALESCE(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c
+  FROM whole QUALIFY k < {ct.CLUSTERS}{"".join(map(_round, range(ct.ROUNDS + 1)))}
+), sums AS (
+  SELECT best.i AS k, SUM(best.d) AS cluster_inertia FROM a{ct.ROUNDS} GROUP BY best.i
+)
+SELECT vec_id, CAST(best.i AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia,
+       CAST((SELECT SUM(cluster_inertia) FROM sums) AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ct.ROUNDS} JOIN c{ct.ROUNDS} o ON o.k = best.i JOIN sums ON sums.k = best.i
+"""
