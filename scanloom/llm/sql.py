@@ -194,8 +194,8 @@ def _round(k: int) -> str:
   SELECT n, vec_id, v, list_min(list_transform(range(len(cs)), lambda i: {{'d': list_sum(list_transform(list_zip(v, cs[i + 1]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'i': i}})) AS best
   FROM whole, (SELECT LIST(c ORDER BY k) AS cs FROM c{k})
 ), s{k} AS (
-  SELECT k, LIST(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY at) AS c
-  FROM (SELECT best.i AS k, at, SUM(x) AS s, COUNT(*) AS n FROM (SELECT best, UNNEST(v) AS x, UNNEST(range(len(v))) AS at FROM a{k}) GROUP BY best.i, at)
+  SELECT k, LIST(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c
+  FROM (SELECT best.i AS k, pos, SUM(x) AS s, COUNT(*) AS n FROM (SELECT best, UNNEST(v) AS x, UNNEST(range(len(v))) AS pos FROM a{k}) GROUP BY best.i, pos)
   GROUP BY k
 ), c{k + 1} AS MATERIALIZED (
   SELECT o.k, COALESCE(s.c, o.c) AS c FROM c{k} o LEFT JOIN s{k} s USING (k)"""

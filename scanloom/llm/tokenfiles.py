@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,20 +31,34 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 END = 0
 FORMAT = "token_files"
 #: Words of which a worker remembers the ids; beyond, those not used since the last time are forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Bytes of ids that one read task takes, and documents of one batch of it.
 READ_BYTES, READ_ROWS = 64 << 20, 4096
 #: Places before a space where the tokenizer always cuts: after other characters than white space, or where one space is left of a run.
 _CUTS = re.compile(r"(?<!\s)(?= )|(?= \S)")
 #: A space inside or at the end of a run of white space; every other one may be cut at.
 _RUN = re.compile(r"\s (?:\s|\Z)")
+#: A space or none with letters, digits or ASCII marks, then ASCII marks: the tokenizer's rules cut such a stretch there alone.
+_PLAIN = re.compile(r"( ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-/:-@\[-`{-~]+))([!-/:-@\[-`{-~]*)\Z")
 
 
 # Encoding
 
 
+class _Shown(dict):
+    """How the tokenizer's model sees each character, by code point."""
+
+    def __init__(self, rules) -> None:
+        super().__init__()
+        self.rules = rules
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(p for p, _ in self.rules.pre_tokenize_str(chr(point)))
+        return self[point]
+
+
 class ChunkIds(dict):
-    """Ids of stretches of text as little-endian bytes; one that is not known is encoded when it is looked up."""
+    """Ids, as little-endian bytes, of a space with the stretch of text behind it; an unknown one is encoded when looked up."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -51,23 +66,56 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{id_width(path)}")
+        self.pack = {2: "H", 4: "I"}[self.kind.itemsize]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.shown = _Shown(self.tokenizer.pre_tokenizer)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.before.get(chunk)
+    def __missing__(self, rest: str) -> bytes:
+        ids = self.before.get(rest)
         if ids is None:
-            ids = self.whole(chunk)
-        self[chunk] = ids
+            ids = self.chunk(" " + rest)
+        self[rest] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.pack}", *ids)
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch that ``encoded_bytes`` cut out: of its words and line breaks where it has nothing else."""
+        plain = _PLAIN.match(chunk)
+        if plain:
+            word, marks = plain.groups()
+            return self.part(word) + self.part(marks) if marks else self.part(word)
+        found = b""
+        for nth, line in enumerate(chunk.split("\n")):
+            plain = _PLAIN.match(line)
+            if plain is None or (nth and line[0] == " "):
+                return self.whole(chunk)
+            if nth:
+                found += self.part("\n")
+            word, marks = plain.groups()
+            found += self.part(word)
+            if marks:
+                found += self.part(marks)
+        return found
+
+    def part(self, part: str) -> bytes:
+        """Ids of what the tokenizer's rules never cut, by its model alone."""
+        ids = self.parts.get(part)
+        if ids is None:
+            found = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.shown))]
+            ids = self.parts[part] = struct.pack(f"<{len(found)}{self.pack}", *found)
+        return ids
 
     def forget(self) -> None:
         if len(self) > REMEMBERED:
             self.before = dict(self)
             self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
 
 
 _loaded: dict[str, ChunkIds] = {}
@@ -94,10 +142,10 @@ def encoded_bytes(text: str, path: str) -> bytes:
     if any(s in text for s in known.special):
         ids = known.whole(text)
     elif _RUN.search(text):
-        ids = b"".join(map(known.__getitem__, _CUTS.split(text)))
+        ids = b"".join([known[c[1:]] if c[:1] == " " else known.whole(c) for c in _CUTS.split(text)])
     else:
         first, *rest = text.split(" ")
-        ids = known[first] + b"".join([known[" " + c] for c in rest])
+        ids = known.whole(first) + b"".join(map(known.__getitem__, rest))
     return ids + END.to_bytes(known.kind.itemsize, "little")
 
 
