@@ -14,6 +14,7 @@ from scanloom.llm import chat, classifier, lines, mixing, packing, rules, shardi
 from scanloom.llm.components import connected_components
 from scanloom.llm.queries import ORACLES, QUERIES, read, word_tokenizer
 from tests.compare import compare, duck
+from tests.llm.test_whole_job import jaccard_stays
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -376,10 +377,8 @@ def test_pipeline(spark, folder):
     docs = read(spark, folder, "documents")
     kept = {r.doc_id for r in QUERIES["op7_quality_rules"](spark, folder).where("kept").collect()}
     texts = deduped_lines(sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept))
-    order = sorted(texts)
-    roots = groups([simhash.fingerprint(texts[i], 5) for i in order], simhash.MOST_BITS)
-    stays = [(i, texts[i]) for k, (i, root) in enumerate(zip(order, roots, strict=True)) if root == k]
-    check_packing(corpus_pipeline.run(spark, folder).collect(), stays)
+    stays = jaccard_stays(texts.items())
+    check_packing(corpus_pipeline.run(spark, folder).collect(), [(i, texts[i]) for i in stays])
 
 
 def test_pipeline_stages_keep_the_columns(spark, messy, empty):

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scanloom.llm import mixing, packing, rules, sharding, shingles
@@ -56,6 +57,35 @@ def test_near_copies_at_the_threshold_go(spark):
     assert want <= stays and len(stays - want) <= 3
 
 
+def test_a_shared_passage_makes_no_square(spark):
+    """Documents that share a long passage and stay below 0.8: pairs to read grow at most with their number."""
+    rng = random.Random(4)
+    shared = " ".join(f"s{k}" for k in range(100))
+    for n in (100, 400):
+        texts = [(k, f"{shared} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(24))) for k in range(n)]
+        docs = spark.createDataFrame(texts, "at long, text string")
+        sets = shingles._sets(docs, 5).withColumn("root", F.col("at"))
+        assert shingles.possible_pairs(sets).count() <= n
+        assert shingles.one_of_each(docs.withColumnRenamed("at", "doc_id")).count() == n
+
+
+def test_possible_pairs_hold_all_similar_ones(spark):
+    """Copies of one text with scattered edits: no pair at 0.8 or more is left out, most others are."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(80):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(9)):
+            copy[at] = rng.choice([f"edit{rng.randrange(50)}", ""])
+        texts.append((k, " ".join(copy)))
+    found = [shingles.hashes(shingles.words(t)) for _, t in texts]
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if shingles.similarity(found[a], found[b]) >= 0.8}
+    sets = shingles._sets(spark.createDataFrame(texts, "at long, text string"), 5).withColumn("root", F.col("at"))
+    got = {tuple(sorted(r)) for r in shingles.possible_pairs(sets).collect()}
+    assert want <= got and len(got) < 80 * 79 // 2 - 500 and 100 < len(want)
+
+
 def test_weights_are_exact_over_many_periods(spark):
     """Deviation from the given weights, tiny ones too, at every slot of a run of several periods."""
     sizes = {"a": 1500, "b": 3000, "c": 900, "tiny": 5}
