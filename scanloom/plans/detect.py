@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom import constants as K
-from scanloom.operators import detect, summary
+from scanloom.operators import detect, secrets, summary
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS
 from scanloom.sources import files as fs
@@ -74,6 +74,38 @@ def r1_summary(spark, d):
     return summary.scan_summary(files.select("scan_id").distinct(), issues)
 
 
+def _keyed_sql() -> str:
+    """Every pattern on every text. The text between matches gives their places."""
+    text = lambda value: "'" + value.replace("'", "''") + "'"
+    parts = []
+    for r in secrets.KEYED_RULES:
+        p = text(r.pattern)
+        allowed = " OR ".join(f"regexp_matches(secret, {text(a)})" for a in r.allow) or "FALSE"
+        parts.append(f"""
+  SELECT scan_id, file_path, {text(r.id)} AS rule, line_start, line_start + len(string_split(hit, chr(10))) - 1 AS line_end, secret FROM (
+    SELECT scan_id, file_path, hits[i] AS hit, regexp_extract_all(text, {p}, {r.group})[i] AS secret,
+           len(string_split(array_to_string(gaps[1:i], '') || array_to_string(hits[1:i - 1], ''), chr(10))) AS line_start
+    FROM (SELECT *, regexp_extract_all(text, {p}, 0) AS hits, string_split_regex(text, {p}) AS gaps FROM doc), unnest(range(1, len(hits) + 1)) AS r(i))
+  WHERE entropy(secret) >= {r.entropy} AND NOT ({allowed})""")
+    return f"""
+WITH doc AS (
+  SELECT 'scan_' || source AS scan_id, lang || '/' || doc_id || '.txt' AS file_path, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'scan_web', page_id || '.html', html FROM pages WHERE html IS NOT NULL),
+hit AS ({" UNION ALL ".join(parts)})
+SELECT scan_id, file_path, line_start::INT AS line_start, line_end::INT AS line_end, '{K.SECRET_TITLE}' || rule AS title,
+  CASE WHEN length(secret) <= 8 THEN '***' ELSE secret[:4] || '***' || right(secret, 4) END AS code FROM hit"""
+
+
+_ENTROPY = "(SELECT COALESCE(-SUM(n / t * log2(n / t)), 0) FROM (SELECT COUNT(*)::DOUBLE AS n, length(secret)::DOUBLE AS t FROM (SELECT unnest(string_split(secret, '')) AS c) GROUP BY c))"
+
+
+@query("r1_keyed_secrets", _keyed_sql().replace("entropy(secret)", _ENTROPY))
+def r1_keyed(spark, d):
+    files = _documents(spark, d).unionByName(_pages(spark, d)).drop("language")
+    issues = detect.as_issues(secrets.keyed_findings(files), "gitleaks")
+    return issues.select("scan_id", "file_path", "line_start", "line_end", "title", "code")
+
+
 def _pattern_sql() -> str:
     severity = {"WARNING": "high", "INFO": "medium", "ERROR": "critical"}
     parts = []
