@@ -206,8 +206,16 @@ class _Part(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """Every attempt of a task writes files of its own; only those named by the manifest count."""
 
-    def __init__(self, path: str, width: int, overwrite: bool) -> None:
-        self.path, self.width, self.overwrite = path, width, overwrite
+    def __init__(self, path: str, width: int, tokenizer: str | None, overwrite: bool) -> None:
+        self.path, self.width, self.tokenizer, self.overwrite = path, width, tokenizer, overwrite
+
+    def _ids(self, batch: pa.RecordBatch) -> list:
+        """The ids of each row as bytes: those given, or those of its text."""
+        if self.tokenizer:
+            return [encoded_bytes(t.as_py() or "", self.tokenizer) for t in batch.column("text")]
+        if batch.column("ids").null_count:
+            raise ValueError("ids may not be null")
+        return [i.as_buffer() for i in batch.column("ids")]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         order = TaskContext.get().partitionId()
@@ -215,20 +223,16 @@ class _Writer(DataSourceArrowWriter):
         system, folder = _opened(self.path)
         system.create_dir(folder, recursive=True)
         files = None
-        for batch in iterator:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, 512) for b in iterator for at in range(0, b.num_rows, 512)):
             if files is None:
                 files = [system.open_output_stream(f"{folder}/{part.name}.{end}") for end in ("ids", "offsets", "docs")]
-            docs, ids = batch.column("doc_id"), batch.column("ids")
-            if ids.null_count:
-                raise ValueError("ids may not be null")
+            docs, ids = batch.column("doc_id"), self._ids(batch)
             if part.nulls and docs.null_count < len(docs):
                 raise ValueError("rows without doc_id come last")
-            sizes = np.array([len(i.as_buffer()) for i in ids], np.uint64) // np.uint64(self.width)
+            sizes = np.array([len(i) for i in ids], np.uint64) // np.uint64(self.width)
             starts = np.uint64(part.tokens) + np.cumsum(sizes, dtype=np.uint64) - sizes
             for i in ids:
-                files[0].write(i.as_buffer())
+                files[0].write(i)
             files[1].write(starts.astype("<u8").tobytes())
             files[2].write(docs.fill_null(0).to_numpy().astype("<i8").tobytes())
             part.documents += len(docs)
@@ -310,8 +314,9 @@ class _Reader(DataSourceReader):
 
 class TokenFiles(DataSource):
     """Format ``token_files``. Written from ``doc_id`` (long), ``ids`` (binary), in the order of the rows; append goes on
-    behind the last document. Options: ``path``; ``width`` of an id for writing; for reading ``ids``: ``bytes``
-    (binary, little-endian unsigned 32-bit, the default) or ``numbers`` (array of long).
+    behind the last document. With option ``tokenizer`` it takes a ``text`` in place of the ids. Other options: ``path``;
+    ``width`` of an id for writing; for reading ``ids``: ``bytes`` (binary, little-endian unsigned 32-bit, the
+    default) or ``numbers`` (array of long).
     """
 
     @classmethod
@@ -326,7 +331,9 @@ class TokenFiles(DataSource):
         return _Reader(self.options["path"].rstrip("/"), self.options.get("ids") == "numbers")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"].rstrip("/"), int(self.options.get("width", "4")), overwrite)
+        tokenizer = self.options.get("tokenizer")
+        width = id_width(tokenizer) if tokenizer else int(self.options.get("width", "4"))
+        return _Writer(self.options["path"].rstrip("/"), width, tokenizer, overwrite)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> None:
@@ -340,7 +347,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), at.alias("at"))
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "at")
     docs.sparkSession.dataSource.register(TokenFiles)
-    encoded(ordered, tokenizer).write.format(FORMAT).option("width", id_width(tokenizer)).mode("overwrite").save(path)
+    ordered.select("doc_id", "text").write.format(FORMAT).option("tokenizer", tokenizer).mode("overwrite").save(path)
 
 
 def read(spark: SparkSession, path: str, ids: str = "bytes") -> DataFrame:
