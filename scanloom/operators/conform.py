@@ -186,22 +186,6 @@ def run_status(requested: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
-def number_issues(issues: DataFrame, registry: dict[str, Tool] = REGISTRY) -> DataFrame:
-    """Dense ordinal per scan: tools in fixed order, findings in report order.
-
-    A finding's place is its report position plus the size of the reports before it. Only those
-    sizes (one row per scan) are aggregated and joined back; no scan is ever sorted in one task,
-    however many issues it has. The issues are read twice, so stored ones are the better input.
-    """
-    ranks = [tool.rank for tool in registry.values()]
-    sizes = issues.groupBy("scan_id").agg(
-        F.array(*[F.count_if(F.col("tool_rank") < rank) for rank in ranks]).alias("before")
-    )
-    return issues.join(sizes, "scan_id").select(
-        *issues.columns, (F.get("before", F.col("tool_rank")) + F.col("pos") + 1).cast("int").alias("ordinal")
-    )
-
-
 def sink_rows(issues: DataFrame, created_at: Column) -> DataFrame:
     """Columns of the persisted issue table; list columns are never null."""
     empty = F.array().cast("array<string>")

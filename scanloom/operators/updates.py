@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.operators.conform import failure_flags
+from scanloom.operators.conform import failure_flags, scan_failures
 from scanloom.operators.summary import COUNTERS, counters
+from scanloom.session import fresh_path
 
 
 def newest(updates: DataFrame, key: str, order_by: str) -> DataFrame:
@@ -128,6 +129,19 @@ def write_batch(rows: DataFrame, path: str, batch: str) -> None:
     placed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def staged_issues(issues: DataFrame, scan_ids: DataFrame) -> DataFrame:
+    """The issues of scans that end well: one issue that fails its scan keeps all of that scan's issues out.
+
+    Issues are written to the shared folder first and judged from there, so that reports are parsed once. Only the
+    ids of failed scans are joined back. Issues without a scan belong to none that is known and stay out.
+    """
+    path = fresh_path(issues.sparkSession, "staged")
+    issues.write.parquet(path)
+    staged = issues.sparkSession.read.schema(issues.schema).parquet(path)
+    failed = scan_failures(staged, scan_ids).select("scan_id")
+    return staged.filter(F.col("scan_id").isNotNull()).join(failed, "scan_id", "left_anti")
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom import constants as K
-from scanloom.operators import detect, secrets, summary
+from scanloom.operators import detect, ordinals, secrets, summary
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS
 from scanloom.sources import files as fs
@@ -135,6 +135,23 @@ def r2(spark, d):
     )
 
 
+_DETECTED = f"""
+SELECT scan_id, tool_rank, file_path, line_start, title,
+  row_number() OVER (PARTITION BY scan_id ORDER BY tool_rank, file_path, line_start, title) AS ordinal
+FROM (SELECT scan_id, 2 AS tool_rank, file_path, line_start, title FROM ({_keyed_sql().replace("entropy(secret)", _ENTROPY)})
+      UNION ALL SELECT scan_id, 0, file_path, line_start, title FROM ({_pattern_sql()}))"""
+
+
+@query("o1_detected_ordinal", _DETECTED)
+def o1_detected(spark, d):
+    """Numbers of issues found by the scanners over tables: several on a line, many files a scan."""
+    files = _documents(spark, d).unionByName(_pages(spark, d))
+    found = detect.as_issues(secrets.keyed_findings(files.drop("language")), "gitleaks")
+    found = found.unionByName(detect.as_issues(detect.pattern_findings(files), "semgrep"))
+    numbered = ordinals.dense_ordinals(found, ["tool_rank", "file_path", "line_start", "title"])
+    return numbered.select("scan_id", "tool_rank", "file_path", "line_start", "title", "ordinal")
+
+
 _POLICIES = (
     detect.Policy("CFG_1", "k below fifty", "policy.HIGH", lambda: F.col("k") < 50, "https://guide/k"),
     detect.Policy("CFG_2", "k not round", "policy.ALLOW", lambda: F.col("k") % 10 != 0),

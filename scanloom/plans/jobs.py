@@ -326,12 +326,16 @@ def f6(spark, d):
     "k1_append_issues",
     report_sql("""
 SELECT scan_id, tool, severity, title, file_path, line_start, line_end, coalesce(cwe, '') AS cwe,
-  coalesce(owasp, '') AS owasp, 'open' AS status, pos FROM iss"""),
+  coalesce(owasp, '') AS owasp, 'open' AS status, pos FROM iss
+WHERE scan_id NOT IN (
+  SELECT scan_id FROM iss
+  WHERE severity IS NULL OR title IS NULL OR description IS NULL OR file_path IS NULL OR line_start IS NULL)"""),
 )
 def k1(spark, d):
-    """The batch is delivered twice; the second write replaces the first."""
+    """Scans that an issue fails store nothing. The batch is delivered twice; the second write replaces the first."""
     path = fresh_path(spark, "issues")
-    rows = conform.sink_rows(conform.all_issues(views.reports(spark, d)), views.now())
+    issues = conform.sink_rows(conform.all_issues(views.reports(spark, d)), views.now())
+    rows = updates.staged_issues(issues, _scan_rows(spark, d))
     for _ in range(2):
         updates.write_batch(rows, path, "2024-01-01T00")
     return updates.read_batches(spark, path).select(

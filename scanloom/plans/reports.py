@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanloom import constants as K
 from scanloom.functions import severity as sev
 from scanloom.functions import text
-from scanloom.operators import conform, summary
+from scanloom.operators import conform, ordinals, summary
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS, ISSUE_COLUMNS, report_sql
 from scanloom.sources import reports as src
@@ -319,9 +319,7 @@ SELECT scan_id, tool, pos, title,
   row_number() OVER (PARTITION BY scan_id ORDER BY tool_rank, pos)::INT AS ordinal FROM iss"""),
 )
 def o1(spark, d):
-    return conform.number_issues(conform.all_issues(views.reports(spark, d))).select(
-        "scan_id", "tool", "pos", "title", "ordinal"
-    )
+    return ordinals.numbered_issues(views.reports(spark, d)).select("scan_id", "tool", "pos", "title", "ordinal")
 
 
 @query(
