@@ -16,32 +16,37 @@ from scanloom.sources import reports as src
 DETECTED = ("tool_rank", "file_path", "pos", "line_start", "line_end", "title", "severity", "code", "description", "recommendation")
 
 
-def _issues(findings: Column, scan_root: Column, tool: Tool) -> Column:
-    """An array of findings as an array of issues."""
+def _issues(findings: Column, scan_root: Column, tool: Tool, fields: Sequence[str]) -> Column:
+    """An array of findings as an array of issues with the ``fields``."""
 
     def issue(finding: Column) -> Column:
         mapped = tool.normalise(finding)
         mapped["file_path"] = strip_root(mapped["file_path"], scan_root)
         mapped["tool"] = F.lit(tool.name)
-        return F.struct(*[mapped.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ISSUE_FIELDS])
+        return F.struct(*[mapped.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ISSUE_FIELDS if name in fields])
 
     return F.transform(findings, issue)
 
 
 def numbered_issues(
-    reports: Reports, mode: str = "strict", tools: list[str] | None = None, registry: dict[str, Tool] = REGISTRY
+    reports: Reports,
+    mode: str = "strict",
+    tools: list[str] | None = None,
+    registry: dict[str, Tool] = REGISTRY,
+    fields: Sequence[str] = tuple(name for name, _ in ISSUE_FIELDS),
 ) -> DataFrame:
     """All issues with ``ordinal``: 1, 2, 3… in each scan, tools in fixed order, findings in report order.
 
     Reports are parsed once and stay a row each until they are numbered: a scan meets as its few reports, whose sizes are
     summed up before any is exploded, and no finding is looked at for it. Several reports of one tool follow
-    each other in any order. Reports without a scan are numbered each by itself.
+    each other in any order. Reports without a scan are numbered each by itself. Only ``fields`` of an issue are made and
+    moved: the optimizer does not see into the arrays.
     """
     frames = []
     for name in tools or registry:
         tool = registry[name]
         read = src.read_reports(reports_of(reports, name), tool.dialect, mode)
-        found = _issues(F.col("findings"), F.col("scan_root"), tool)
+        found = _issues(F.col("findings"), F.col("scan_root"), tool, fields)
         frames.append(read.select("scan_id", F.lit(tool.rank).alias("tool_rank"), found.alias("found")))
     alone = F.when(F.col("scan_id").isNull(), F.monotonically_increasing_id())
     every = src.union_all(frames).select("*", F.greatest(F.coalesce(F.size("found"), F.lit(0)), F.lit(0)).alias("n"), alone.alias("alone"))

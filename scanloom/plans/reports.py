@@ -319,7 +319,8 @@ SELECT scan_id, tool, pos, title,
   row_number() OVER (PARTITION BY scan_id ORDER BY tool_rank, pos)::INT AS ordinal FROM iss"""),
 )
 def o1(spark, d):
-    return ordinals.numbered_issues(views.reports(spark, d)).select("scan_id", "tool", "pos", "title", "ordinal")
+    numbered = ordinals.numbered_issues(views.reports(spark, d), fields=("tool", "title"))
+    return numbered.select("scan_id", "tool", "pos", "title", "ordinal")
 
 
 @query(
