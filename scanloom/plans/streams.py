@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scanloom import constants as K
 from scanloom.plans.jobs import job_sql
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS, report_sql
@@ -12,6 +13,7 @@ from scanloom.sources import views
 from scanloom.sources.jobs import parse_jobs
 from scanloom.sources.tables import table, table_stream
 from scanloom.streaming import jobs as js
+from scanloom.streaming.awaited import awaited
 
 
 def _messages(spark, d):
@@ -91,3 +93,47 @@ def t4(spark, d):
     return closed.select(
         "scan_id", "status", "failed_at", *[F.col(c).cast("bigint").alias(c) for c in ("total_issues", "high_count")]
     )
+
+
+_MINUTES = "(o_custkey * 3 + t * 5) % 30 - 3"
+_ARRIVES = "(o_orderkey + t) % 7 <> 0"
+
+
+def _streamed(df, name):
+    """The rows as a stream, closed by a message from long after: what no later message settles stays open."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    end = df.sparkSession.sql("SELECT TIMESTAMP '2100-01-01 00:00:00' AS at")
+    other = {"timestamp": F.col("at"), "string": F.lit("")}
+    shape = [other.get(kind, F.lit(None).cast(kind)).alias(c) for c, kind in df.dtypes]
+    end.select(*shape).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query(
+    "t4_awaited_reports",
+    f"""
+WITH asked AS (
+  SELECT 'scan_' || o_orderkey AS scan_id, tool, {_ARRIVES} AS sent, {_MINUTES} AS late
+  FROM orders, (VALUES (0, 'semgrep'), (1, 'opengrep'), (2, 'gitleaks'), (3, 'checkov'), (4, 'trivy')) AS tools(t, tool)
+  WHERE NOT (o_orderpriority = '2-HIGH' AND tool IN ('checkov', 'semgrep')))
+SELECT scan_id, tool, CASE WHEN sent AND late BETWEEN -1 AND 10 THEN 'arrived' ELSE 'terminated' END AS status,
+  CASE WHEN sent AND late BETWEEN -1 AND 10 THEN late END::BIGINT AS minutes FROM asked""",
+)
+def t4_awaited(spark, d):
+    """Reports come before their jobs, in time, too late, or never."""
+    orders = table(spark, d, "orders").withColumn("asked_at", js.utc(F.col("o_orderdate")))
+    jobs = orders.join(views.requested_tools(spark, d), F.concat(F.lit("scan_"), "o_orderkey") == F.col("scan_id"))
+    tools = F.posexplode(F.array(*[F.lit(t) for t in K.TOOLS])).alias("t", "tool")
+    sent = orders.select("*", tools).where(_ARRIVES).select(
+        F.concat(F.lit("scan_"), "o_orderkey").alias("scan_id"),
+        "tool",
+        (F.col("asked_at") + F.make_dt_interval(mins=F.expr(_MINUTES).cast("int"))).alias("arrived_at"),
+    )
+    asked = _streamed(jobs.select("scan_id", "tools", "asked_at"), "asked")
+    settled = awaited(asked, _streamed(sent, "sent"))
+    out = fresh_path(spark, "awaited")
+    js.append_available(settled, out, fresh_path(spark, "awaited-checkpoint"))
+    rows = spark.read.schema(settled.schema).parquet(out)
+    minutes = F.timestamp_diff("MINUTE", F.col("asked_at"), F.col("arrived_at"))
+    return rows.select("scan_id", "tool", "status", minutes.alias("minutes"))
