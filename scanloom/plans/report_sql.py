@@ -11,7 +11,7 @@ def report_sql(body: str, mode: str = "strict") -> str:
     usable = "true" if mode == "strict" else "k % 97 <> 0"
     return f"""
 WITH tools(t, tool) AS (VALUES (0, 'semgrep'), (1, 'opengrep'), (2, 'gitleaks'), (3, 'checkov'), (4, 'trivy')),
-rep AS (
+rep AS MATERIALIZED (
   SELECT o_orderkey, o_custkey, t, tool, 'scan_' || o_orderkey AS scan_id,
          '/tmp/scan/scan_' || o_orderkey AS root,
          (o_orderkey + 2 * t) % 4 AS n, o_custkey % 6 AS e,
@@ -19,11 +19,11 @@ rep AS (
          o_orderpriority = '5-LOW' AS failed
   FROM orders CROSS JOIN tools
   WHERE NOT (tool IN ('opengrep', 'trivy') AND o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O')),
-fnd AS (
-  SELECT rep.*, i, o_custkey + 7 * i + t AS k
-  FROM rep CROSS JOIN (VALUES (0), (1), (2)) AS r(i) WHERE i < n),
+fnd AS MATERIALIZED (
+  SELECT *, o_custkey + 7 * i + t AS k
+  FROM (SELECT *, unnest(range(n))::INT AS i FROM rep)),
 bad AS (SELECT scan_id, t, count(*) AS n_bad FROM fnd WHERE k % 97 = 0 GROUP BY scan_id, t),
-reasoned AS (
+reasoned AS MATERIALIZED (
   SELECT rep.*, coalesce(n_bad, 0) AS n_bad,
     CASE WHEN killed THEN 'signal'
          WHEN failed AND t IN (0, 1, 4) THEN 'exit_code'
@@ -34,7 +34,7 @@ reasoned AS (
          WHEN n = 0 AND e = 5 AND t IN (0, 1, 4) THEN 'no_results'
          WHEN {void} THEN 'bad_finding' END AS reason
   FROM rep LEFT JOIN bad USING (scan_id, t)),
-judged AS (
+judged AS MATERIALIZED (
   SELECT *,
     CASE WHEN reason IN ('signal', 'exit_code', 'blank', 'null_document', 'bad_type', 'bad_json', 'no_results')
            OR (reason = 'bad_finding' AND n = 0) THEN 0 ELSE n_bad::INT END AS n_unusable,
