@@ -1,5 +1,6 @@
 """Token files, importance resampling and centroid clustering against plain Python."""
 
+import functools
 import hashlib
 import json
 import math
@@ -13,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from scanloom.llm import centroids, resampling, tokenfiles
 from scanloom.llm.common import placed
@@ -22,9 +24,13 @@ from scanloom.session import fresh_path
 # 11 token files
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(byte_tokenizer())
+
+
 def plain_ids(text):
-    known = tokenfiles._loaded.setdefault(byte_tokenizer(), tokenfiles.ChunkIds(byte_tokenizer()))
-    return known.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 @given(some.text(alphabet=some.sampled_from("ab Z9 \n\t.,'s 　\x1c\x85é\U0001f600 "), max_size=40))
