@@ -78,7 +78,7 @@ def dense_ordinals(issues: DataFrame, order: Sequence[str] = DETECTED) -> DataFr
         base += row["count"]
     by_task = spark.createDataFrame(bases, "__task long, __base long")
     within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    places = kept.join(F.broadcast(by_task), task == F.col("__task")).withColumn("__place", F.col("__base") + within)
+    places = kept.join(by_task, task == F.col("__task")).withColumn("__place", F.col("__base") + within)
     starts = places.groupBy(F.col("scan_id").alias("__scan")).agg(F.min("__place").alias("__start"))
     numbered = places.join(starts, F.col("scan_id").eqNullSafe(F.col("__scan")))
     return numbered.select(*issues.columns, (F.col("__place") - F.col("__start") + 1).alias("ordinal"))
