@@ -12,6 +12,7 @@ from scanloom.session import fresh_path
 from scanloom.sources import views
 from scanloom.sources.jobs import parse_jobs
 from scanloom.sources.tables import table, table_stream
+from scanloom.streaming import deliveries
 from scanloom.streaming import jobs as js
 from scanloom.streaming.awaited import awaited
 
@@ -95,6 +96,40 @@ def t4(spark, d):
     )
 
 
+_ROUNDS = 3
+
+
+@query(
+    "t3_counted_receives",
+    f"""
+WITH delivery AS (SELECT 'scan_' || event_id AS job_key, event_id, r, CASE WHEN event_type = 'click' THEN 2 ELSE 1 END AS copies
+                  FROM events, unnest(range({_ROUNDS})) AS rounds(r) WHERE r <= event_id % 4)
+SELECT job_key, copies::BIGINT AS received, (copies * (r + 1))::BIGINT AS receives,
+  CASE WHEN event_id % 5 < r THEN 'finished' WHEN copies * (r + 1) > {deliveries.MAX_RECEIVES} THEN 'dead' ELSE 'run' END AS verdict FROM delivery""",
+)
+def t3_counted(spark, d):
+    """Three rounds of deliveries, each read by a stream that starts again; a round brings closings of the one before."""
+    events = table(spark, d, "events")
+    key = F.concat(F.lit("scan_"), F.col("event_id").cast("string")).alias("job_key")
+    copies = F.when(F.col("event_type") == "click", 2).otherwise(1)
+    inbox, closed, out, mark = (fresh_path(spark, name) for name in ("deliveries", "closings", "counted", "counted-checkpoint"))
+    for n in range(_ROUNDS):
+        sent = events.where(F.col("event_id") % 4 >= n).select(
+            key, F.col("event_id").alias("message_id"), js.utc(F.col("ts")).alias("arrival"), F.lit("").alias("body"), copies.alias("copies")
+        )
+        sent = sent.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+        sent.write.mode("append").parquet(inbox)
+        done = events.where(F.col("event_id") % 5 == n - 1).select(key, F.lit("completed").alias("status"))
+        done.write.mode("append").parquet(closed)
+        stream = lambda path, like: spark.readStream.schema(like.schema).parquet(path)
+        # Events come in no order of time: kept for as long as any of them may be late.
+        counts = deliveries.counted(stream(inbox, sent), stream(closed, done), retention="36500 days")
+        with deliveries.keyed_state(spark):
+            js.append_available(counts, out, mark)
+    rows = spark.read.schema(deliveries.COUNTED).parquet(out).where(F.col("kind") == deliveries.JOB)
+    return rows.select("job_key", "received", "receives", "verdict")
+
+
 _MINUTES = "(o_custkey * 3 + t * 5) % 30 - 3"
 _ARRIVES = "(o_orderkey + t) % 7 <> 0"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.schemas import JOB
@@ -38,10 +38,12 @@ def readable(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("parse_error").isNull()).drop("parse_error", "body")
 
 
-def dead_letters(jobs: DataFrame) -> DataFrame:
-    """Messages no retry can help, with the reason."""
+def dead_letters(jobs: DataFrame, given_up: Column | None = None) -> DataFrame:
+    """Messages no retry can help, with the reason; ``given_up`` marks those that were received too often."""
     rest = [c for c in jobs.columns if c not in ("parse_error", "body")]
     reason = F.when(F.col("parse_error").isNotNull(), F.col("parse_error")).when(
         F.coalesce(F.col("repo_url"), F.lit("")) == "", "no_url"
     )
+    if given_up is not None:
+        reason = reason.when(given_up, "receives")
     return jobs.select(*rest, "body", reason.alias("reason")).filter(F.col("reason").isNotNull())

@@ -18,15 +18,19 @@ from pyspark.sql.utils import AnalysisException
 from scanloom.functions.text import epoch_micros
 from scanloom.operators import conform, credentials, updates
 from scanloom.sources import jobs as job_source
+from scanloom.streaming import deliveries
 
 MESSAGE = "message_id BIGINT, arrival TIMESTAMP, body STRING"
 
+RECEIVED = "received"
 OUTCOMES = "outcomes"
 DEAD_LETTERS = "dead_letters"
 FINDINGS = "findings"
 ISSUES = "issues"
 SCAN_UPDATES = "scan_updates"
 RESOLVED = "resolved"
+GIVEN_UP = "Job was received too often"
+JOB_FIELDS = ("parse_error", "scan_id", "repo_id", "repo_url", "branch", "token", "installation_id")
 RESOLVED_ROW = (
     "job_key STRING, scan_id STRING, repo_id INT, branch STRING, auth_source STRING, token_state STRING, error STRING,"
     " finished BOOLEAN"
@@ -71,16 +75,29 @@ class JobRun:
         """Parse, answer, scan and close one micro-batch."""
         spark = messages.sparkSession
         batch = f"{batch_id:012d}"
-        parsed = job_source.parse_jobs(messages)
-        self._write(job_source.dead_letters(parsed), DEAD_LETTERS, batch)
+        # Written out once: the steps below start from this table, not from the message stream or its state.
+        received = job_source.parse_jobs(messages)
+        self._write(received, RECEIVED, batch)
+        parsed = spark.read.schema(received.schema).parquet(f"{self.out}/{RECEIVED}/batch={batch}")
+        verdicts = None
+        if "kind" in parsed.columns:
+            verdicts = parsed.filter(F.col("kind") == deliveries.JOB).select("job_key", "verdict")
+            parsed = parsed.filter(F.col("kind") == deliveries.MESSAGE).select(*deliveries.UNCOUNTED, *JOB_FIELDS)
+        parsed = parsed.withColumn("job_key", job_key())
+        dead = None
+        letters = parsed
+        if verdicts is not None:
+            letters = parsed.join(verdicts, "job_key", "left")
+            dead = F.col("verdict") == deliveries.DEAD
+        self._write(job_source.dead_letters(letters, dead).drop("verdict", "job_key"), DEAD_LETTERS, batch)
 
         # Copies of a job within the batch are one job; jobs finished earlier are not run again.
-        jobs = job_source.readable(parsed).withColumn("job_key", job_key())
+        jobs = job_source.readable(parsed)
         resolved = credentials.resolve(
             updates.newest(jobs, "job_key", "arrival"), self.repos, self.installations, self.now
         ).select("job_key", "scan_id", "repo_id", "branch", "auth_source", "token_state", "error")
-        # Written out once: the steps below start from this table, not from the message stream.
-        self._write(self._mark_finished(spark, resolved, batch), RESOLVED, batch)
+        marked = self._mark_finished(spark, resolved, batch) if verdicts is None else self._mark_counted(resolved, verdicts)
+        self._write(marked, RESOLVED, batch)
         todo = spark.read.schema(RESOLVED_ROW).parquet(f"{self.out}/{RESOLVED}/batch={batch}")
 
         stopped = todo.filter(F.col("error").isNotNull() & ~F.col("finished"))
@@ -118,6 +135,20 @@ class JobRun:
         keys = earlier.select(F.col("scan_id").alias("job_key")).distinct().withColumn("finished", F.lit(True))
         return jobs.join(keys, "job_key", "left").na.fill(False, ["finished"])
 
+    def _mark_counted(self, jobs: DataFrame, verdicts: DataFrame) -> DataFrame:
+        """The same from the keyed state; a job received too often stops with an error of its own."""
+        dead = (F.col("verdict") == deliveries.DEAD) & F.col("error").isNull()
+        rows = jobs.join(verdicts, "job_key", "left").withColumn("finished", F.coalesce(F.col("verdict") == deliveries.FINISHED, F.lit(False)))
+        return rows.withColumn("error", F.when(dead, GIVEN_UP).otherwise(F.col("error"))).drop("verdict")
+
+    def closings(self, spark: SparkSession) -> DataFrame:
+        """The closed scans as a stream (job_key, status): each file is read once."""
+        none = updates.job_failure(spark.createDataFrame([], "scan_id STRING"), self.now)
+        none.write.mode("overwrite").parquet(f"{self.out}/{SCAN_UPDATES}/batch=-1")  # a folder to start from
+        # A replay replaces the files of its batch; the new ones are read in their place.
+        rows = spark.readStream.schema("scan_id STRING, status STRING, batch BIGINT").option("ignoreMissingFiles", True)
+        return rows.parquet(f"{self.out}/{SCAN_UPDATES}").select(F.col("scan_id").alias("job_key"), "status")
+
     def _scan(self, spark: SparkSession, runnable: DataFrame, batch: str) -> DataFrame:
         """Store the issues of the batch's completed scans and return how its scans end."""
         reports = self.reports_for(runnable)
@@ -168,6 +199,27 @@ def run_available(stream: DataFrame, run: JobRun, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def run_counted(
+    stream: DataFrame, run: JobRun, checkpoint: str, max_receives: int = deliveries.MAX_RECEIVES, retention: str = deliveries.RETENTION
+) -> None:
+    """The same with deliveries counted in keyed state: what was written before is not read again.
+
+    A job that was received more than ``max_receives`` times without being completed is not run any more; its messages go
+    to the dead letters. Finished jobs are known as long as ``retention`` remembers them.
+    """
+    spark = stream.sparkSession
+    keyed = job_source.parse_jobs(stream).withColumn("job_key", job_key())
+    counted = deliveries.counted(keyed, run.closings(spark), max_receives, retention)
+    with deliveries.keyed_state(spark):
+        query = (
+            counted.writeStream.foreachBatch(run.process)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    query.awaitTermination()
+
+
 def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """The same for a plain append of the stream's rows to a Parquet table."""
     query = (
