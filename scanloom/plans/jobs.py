@@ -9,7 +9,7 @@ from scanloom.functions import payload, text
 from scanloom.operators import conform, credentials, summary, updates
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS, report_sql
-from scanloom.session import fresh_path
+from scanloom.session import fresh_path, local_path
 from scanloom.sources import files as fs
 from scanloom.sources import jobs as job_source
 from scanloom.sources import views
@@ -286,6 +286,35 @@ def s5(spark, d):
     )
 
 
+_TREE = """
+WITH f AS (SELECT doc_id, source || '/' || ['', 'node_modules/', '.git/', '.github/', 'sub/node_modules/', '', '_x/', '', '', ''][doc_id % 10 + 1]
+    || lang || '/' || doc_id || '/' || CASE doc_id % 10 WHEN 5 THEN 'node_modules' WHEN 7 THEN '.env' ELSE doc_id || '.txt' END AS path, text
+  FROM documents WHERE text IS NOT NULL)
+"""
+
+
+def _tree(spark, d):
+    """The documents as files of a real tree in the shared folder, one folder each; the tree's root as a row."""
+    root = local_path(fresh_path(spark, "tree"))
+    apart = F.regexp_replace("path", "([^/]+)$", F.concat(F.col("doc_id").cast("string"), F.lit("/$1")))
+    fs.write_files(views.files(spark, d).select(F.lit(root).alias("root"), apart.alias("path"), "text"))
+    return spark.range(1).select(F.lit(root).alias("root"))
+
+
+@query(
+    "s4_tree_listing",
+    _TREE + "SELECT path, strlen(text)::BIGINT AS size FROM f WHERE doc_id % 10 NOT IN (1, 2, 4)",
+)
+def s4_tree(spark, d):
+    return fs.walk_files(_tree(spark, d), views.SKIP_DIRS).select("path", "size")
+
+
+@query("s5_tree_text", _TREE + "SELECT path, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM f")
+def s5_tree(spark, d):
+    read = fs.file_texts(fs.walk_files(_tree(spark, d)))
+    return read.select("path", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query(
     "f4_directory_exclusion",
     _FILES + """

@@ -51,6 +51,16 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/scanloom/{purpose}-{uuid.uuid4().hex}"
 
 
+def local_path(path: str) -> str:
+    """The path as the file system of a machine names it; only folders that all machines have mounted have one."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"{path} is not in a mounted folder")
+    return "/" + rest.lstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives executor loss."""
     shared_folder(df.sparkSession)

@@ -1,8 +1,11 @@
 import os
 
-from scanloom.sources import files as fs
+import pytest
 from pyspark.sql import functions as F
 
+from scanloom.session import local_path
+from scanloom.sources import files as fs
+
 
 def tree(root):
     for rel in (
@@ -34,13 +37,41 @@ def test_walk(spark, tmp_path):
     expected = sorted((r, p) for r in roots for p in brute(r, skip))
     # A small budget forces several passes; the listing must not depend on it.
     for budget in (1, 3, 20_000):
-        got = sorted(tuple(r) for r in fs.walk_files(frame, skip, budget).collect())
-        assert got == expected
+        got = sorted(map(tuple, fs.walk_files(frame, skip, budget).select("root", "path", "size").collect()))
+        assert got == [(r, p, len(p)) for r, p in expected]
     assert (roots[0], ".env") in expected and (roots[0], "docs/node_modules") in expected
     everything = fs.walk_files(frame).count()
     assert everything == 2 * len(brute(roots[0], []))
 
 
+def test_texts(spark, tmp_path):
+    root = str(tmp_path / "texts")
+    long = "ä€😀\n" * 300_000
+    rows = [(root, "a/.env", "x"), (root, "_b", ""), (root, "c/d/long", long), (root, "gone", None)]
+    files = spark.createDataFrame(rows, "root STRING, path STRING, text STRING")
+    assert fs.write_files(files) == 3 and fs.write_files(files) == 3  # again, as a repeated task would
+    with open(f"{root}/bad", "wb") as f:
+        f.write(b"ok\xff\xe2\x82")
+    listed = fs.walk_files(files.select("root").distinct().unionByName(spark.createDataFrame([(None,)], "root STRING")))
+    assert sorted(r.path for r in listed.collect()) == ["_b", "a/.env", "bad", "c/d/long"]
+    for size in (1, 8 << 20):
+        got = {r.path: r.text for r in fs.file_texts(listed.where("path <> '_b'"), size).collect()}
+        assert got == {"a/.env": "x", "bad": "ok\ufffd\ufffd", "c/d/long": long}
+    odd = spark.createDataFrame([(root, "gone", "mine"), (root, "a", "1"), (None, "p", "2"), (root, None, "3"), (root, "_b", "4"), (root, "_b", "4")],
+                                "root STRING, path STRING, content STRING").withColumnRenamed("content", "extra")
+    got = fs.file_texts(odd.withColumn("text", F.lit("clash"))).select("extra", "text", "read_error").collect()
+    assert sorted(map(tuple, got), key=str) == [
+        ("1", None, "unreadable"), ("2", None, "missing"), ("3", None, "missing"), ("4", "", None), ("4", "", None), ("mine", None, "missing")
+    ]
+    assert fs.file_texts(odd.limit(0)).collect() == []
+
+
+def test_mounted_paths():
+    assert local_path("/a/b") == local_path("file:///a/b") == local_path("file:/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        local_path("hdfs://host/a")
+
+
 def test_outside_matches_walk_rule(spark):
     rows = [("node_modules", True), ("a/node_modules", True), ("node_modules/a", False), ("a/node_modules/b", False), ("x", True)]
     frame = spark.createDataFrame(rows, "path STRING, keep BOOLEAN")
