@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom import constants as K
-from scanloom.operators import detect, ordinals, secrets, summary
+from scanloom.operators import advisories, detect, ordinals, secrets, summary
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS
 from scanloom.sources import files as fs
@@ -224,3 +224,82 @@ def r4(spark, d):
     kept = _packages(spark, d).filter(fs.outside(F.col("path"), views.SKIP_DIRS))
     issues = detect.as_issues(detect.advisory_findings(kept, _advisories(spark, d)), "trivy")
     return issues.select("scan_id", "file_path", "title", "severity", "description", "recommendation")
+
+
+def _lock_files(spark, d):
+    """Installed packages of two ecosystems: pre-releases, dates as numbers; epochs, revisions, versions before the first."""
+    k, size, minor = F.col("p_partkey"), F.col("p_size").cast("string"), (F.col("p_partkey") % 12).cast("string")
+    nothing = F.lit("")
+    major = F.when(k % 7 == 0, (F.lit(20240101120000) + F.col("p_size")).cast("string")).otherwise(size)
+    semver = F.concat(major, F.lit("."), minor, F.when(k % 5 == 0, F.concat(F.lit("-rc."), (k % 13).cast("string"))).otherwise(nothing))
+    debian = F.concat(
+        F.when(k % 3 > 0, F.concat((k % 3).cast("string"), F.lit(":"))).otherwise(nothing),
+        size, F.lit("."), minor,
+        F.when(k % 5 == 1, F.concat(F.lit("~rc"), (k % 13).cast("string"))).otherwise(nothing),
+        F.when(k % 4 > 0, F.concat(F.lit("-"), (k % 4).cast("string"))).otherwise(nothing),
+        F.when(k % 8 == 3, F.concat(F.lit("ubuntu"), (k % 11).cast("string"))).otherwise(nothing),
+    )
+    is_debian = k % 2 == 1
+    return table(spark, d, "part").select(
+        F.concat(F.lit("scan_"), F.col("p_type")).alias("scan_id"),
+        F.lit("/scan").alias("scan_root"),
+        F.concat(F.lit("app/"), k.cast("string"), F.lit(".lock")).alias("path"),
+        F.when(is_debian, advisories.DEBIAN).otherwise(advisories.SEMVER).alias("ecosystem"),
+        F.col("p_brand").alias("name"),
+        F.when(is_debian, debian).otherwise(semver).alias("version"),
+    )
+
+
+def _ranged_advisories(spark, d):
+    k = F.col("n_nationkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    span = lambda low, high: F.struct(low.alias("introduced"), high.alias("fixed"))
+    semver = F.array(
+        span(text(k % 10, ".3-rc.2"), text(k % 10 + 8, ".5")),
+        span(text(k % 10 + 20, ".0-rc.", k % 13), F.when(k % 3 > 0, text(F.lit(20240101120000) + k, ".6"))),
+    )
+    debian = F.array(
+        span(F.when(k % 6 > 0, text(k % 10, ".3~rc4")), text("1:", k % 10, ".6-2")),
+        span(text("1:", k % 10, ".2"), text("1:", k % 10 + 9, ".1-3ubuntu5")),
+        span(text("2:", k + 5, ".1~rc10"), F.when(k % 4 > 0, text("2:", k + 9, ".1-3ubuntu3"))),
+    )
+    rows = table(spark, d, "nation").select(
+        k, F.inline(F.array(
+            F.struct(F.lit(advisories.SEMVER).alias("ecosystem"), F.lit("ADV-").alias("kind"), semver.alias("ranges")),
+            F.struct(F.lit(advisories.DEBIAN).alias("ecosystem"), F.lit("DSA-").alias("kind"), debian.alias("ranges")),
+        ))
+    )
+    return rows.select(
+        "ecosystem", text("Brand#", k + 1).alias("name"), F.concat("kind", k.cast("string")).alias("id"),
+        views.pick(views.PACKAGE_LEVELS, k % 5).alias("severity"), text("flaw ", k).alias("title"), "ranges",
+    )
+
+
+@query(
+    "r4_ranged_advisories",
+    """
+WITH pkg AS (
+  SELECT p_type, p_partkey AS k, p_brand AS name, p_partkey % 2 = 1 AS deb, CASE WHEN k % 2 = 1
+    THEN [k % 3, p_size, k % 12, CASE WHEN k % 5 = 1 THEN 0 ELSE 1 END, CASE WHEN k % 5 = 1 THEN k % 13 ELSE 0 END, k % 4, (k % 8 = 3)::BIGINT, CASE WHEN k % 8 = 3 THEN k % 11 ELSE 0 END]
+    ELSE [CASE WHEN k % 7 = 0 THEN 20240101120000 + p_size ELSE p_size END, k % 12, CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END, CASE WHEN k % 5 = 0 THEN k % 13 ELSE 0 END] END AS v
+  FROM part),
+span AS (
+  SELECT n AS k, false AS deb, [n % 10, 3, 0, 2] AS low, [n % 10 + 8, 5, 1, 0] AS high, (n % 10 + 8) || '.5' AS fixed FROM (SELECT n_nationkey::BIGINT AS n FROM nation)
+  UNION ALL SELECT n, false, [n % 10 + 20, 0, 0, n % 13], CASE WHEN n % 3 > 0 THEN [20240101120000 + n, 6, 1, 0] END,
+    CASE WHEN n % 3 > 0 THEN (20240101120000 + n) || '.6' END FROM (SELECT n_nationkey::BIGINT AS n FROM nation)
+  UNION ALL SELECT n, true, CASE WHEN n % 6 > 0 THEN [0, n % 10, 3, 0, 4, 0, 0, 0] END, [1, n % 10, 6, 1, 0, 2, 0, 0], '1:' || (n % 10) || '.6-2' FROM (SELECT n_nationkey::BIGINT AS n FROM nation)
+  UNION ALL SELECT n, true, [1, n % 10, 2, 1, 0, 0, 0, 0], [1, n % 10 + 9, 1, 1, 0, 3, 1, 5], '1:' || (n % 10 + 9) || '.1-3ubuntu5' FROM (SELECT n_nationkey::BIGINT AS n FROM nation)
+  UNION ALL SELECT n, true, [2, n + 5, 1, 0, 10, 0, 0, 0], CASE WHEN n % 4 > 0 THEN [2, n + 9, 1, 1, 0, 3, 1, 3] END,
+    CASE WHEN n % 4 > 0 THEN '2:' || (n + 9) || '.1-3ubuntu3' END FROM (SELECT n_nationkey::BIGINT AS n FROM nation)),
+hit AS (
+  SELECT p_type, pkg.k AS part, span.k AS n, pkg.deb, arg_min(fixed, high) FILTER (high IS NOT NULL) AS fixed
+  FROM pkg JOIN span ON name = 'Brand#' || (span.k + 1) AND pkg.deb = span.deb AND (low IS NULL OR low <= v) AND (high IS NULL OR v < high)
+  GROUP BY p_type, pkg.k, span.k, pkg.deb)
+SELECT 'scan_' || p_type AS scan_id, 'app/' || part || '.lock' AS file_path, CASE WHEN deb THEN 'DSA-' ELSE 'ADV-' END || n || ': Brand#' || (n + 1) AS title,
+  ['critical', 'high', 'medium', 'low', 'info'][n % 5 + 1] AS severity, fixed FROM hit""",
+)
+def r4_ranged(spark, d):
+    """Several ranges an advisory, overlapping too, in the order of each ecosystem; an advisory's nearest fix."""
+    found = advisories.ranged_findings(_lock_files(spark, d), _ranged_advisories(spark, d))
+    issues = detect.as_issues(found, "trivy")
+    return issues.select("scan_id", "file_path", "title", "severity", F.regexp_extract("recommendation", r" to (\S+)$", 1).alias("fixed")).replace("", None, "fixed")
