@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanloom.catalogue import NOW, TABLES, Ref, Table
 from scanloom.operators.credentials import spread_nulls
+from scanloom.session import checkpoint
 from scanloom.sources.reports import union_all
 
 
@@ -103,13 +104,94 @@ def apply_defaults(df: DataFrame, table: Table, now: Column) -> DataFrame:
     return df.withColumns(values)
 
 
+def facts(tables: dict[str, DataFrame]) -> DataFrame:
+    """What the declared columns of all tables break: (table, column, fact, n), one pass over each table.
+
+    Facts are ``null`` in a required column, ``too_long`` and ``outside`` of a closed set. What is kept yields no row, columns
+    a table does not bring are not judged.
+    """
+    found = []
+    for name, df in tables.items():
+        tests = {}
+        for c in _present(df, TABLES[name]):
+            value = F.col(c.name)
+            tests |= {("null", c.name): value.isNull()} if c.required else {}
+            tests |= {("too_long", c.name): F.length(value) > c.size} if c.size else {}
+            tests |= {("outside", c.name): ~value.isin(*c.values)} if c.values else {}
+        if not tests:
+            continue
+        counted = df.agg(*[F.count_if(test).alias(f"n{i}") for i, test in enumerate(tests.values())])
+        rows = [
+            F.struct(F.lit(name).alias("table"), F.lit(column).alias("column"), F.lit(fact).alias("fact"), F.col(f"n{i}").alias("n"))
+            for i, (fact, column) in enumerate(tests)
+        ]
+        found.append(counted.select(F.inline(F.array(*rows))))
+    return union_all(found).where("n > 0")
+
+
+def _entry(columns: tuple[str, ...]) -> Column:
+    """The values as one text that differs if any value does; null if any is null."""
+    values = [F.col(c).cast("string") for c in columns]
+    whole = ~_either([v.isNull() for v in values])
+    return F.when(whole, values[0] if len(values) == 1 else F.to_json(F.array(*values)))
+
+
+def colliding_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """Keys held by several rows, for every uniqueness rule of all tables: (table, rule, key, n), one pass over each table.
+
+    A key of several columns is a JSON list. Keys with a null part never collide. A row enters
+    the shuffle once for each rule, and equal ones of a task as one.
+    """
+    entries = []
+    for name, df in tables.items():
+        rules = [key for key in TABLES[name].keys if set(key) <= set(df.columns)]
+        if rules:
+            each = [F.struct(F.lit(name).alias("table"), F.lit(",".join(key)).alias("rule"), _entry(key).alias("key")) for key in rules]
+            entries.append(df.select(F.inline(F.array(*each))).where(F.col("key").isNotNull()))
+    return union_all(entries).groupBy("table", "rule", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def dangling(tables: dict[str, DataFrame]) -> DataFrame:
+    """References without a target, over all tables given: (table, column, parent, value, n), one anti join in all.
+
+    Every row enters with its references that are not null, counted per value before the join, so that a value
+    that a third of the rows share crosses the network as one row a task. References to tables not given are not judged.
+    """
+    entries, targets = [], {}
+    for name, df in tables.items():
+        refs = [r for r in TABLES[name].refs if r.column in df.columns and r.parent in tables and r.parent_column in tables[r.parent].columns]
+        if refs:
+            each = [
+                F.struct(F.lit(name).alias("table"), F.lit(r.column).alias("column"), F.lit(r.parent).alias("parent"),
+                         F.lit(r.parent_column).alias("parent_column"), F.col(r.column).cast("string").alias("value"))
+                for r in refs
+            ]
+            entries.append(df.select(F.inline(F.array(*each))).where(F.col("value").isNotNull()))
+            targets |= {(r.parent, r.parent_column): None for r in refs}
+    keys = [
+        tables[parent].select(F.lit(parent).alias("parent"), F.lit(column).alias("parent_column"), F.col(column).cast("string").alias("value"))
+        for parent, column in targets
+    ]
+    target = ["parent", "parent_column", "value"]
+    counted = union_all(entries).groupBy("table", "column", *target).agg(F.count("*").alias("n"))
+    return counted.join(union_all(keys), target, "left_anti").select("table", "column", "parent", "value", "n")
+
+
+KEPT, DELETED, BLOCKING = "kept", "deleted", "blocking"
+
+
 @dataclass
 class Deletion:
-    """What a delete does: keys gone per table, rows kept per table, rows that forbid it."""
+    """What a delete does: keys gone per table, rows kept per table, rows that forbid it.
+
+    ``fates`` has every row of a table once, as it is afterwards, with its ``fate``: deleted, kept, or kept and blocking, and
+    then with the references that forbid it (``blocked_by``). The other three are filters of it.
+    """
 
     deleted: dict[str, DataFrame]
     kept: dict[str, DataFrame]
     blocking: dict[str, DataFrame]
+    fates: dict[str, DataFrame]
 
 
 def _parents_first(tables: dict[str, DataFrame]) -> list[str]:
@@ -131,38 +213,50 @@ def _parents_first(tables: dict[str, DataFrame]) -> list[str]:
 def delete(tables: dict[str, DataFrame], root: str, keys: DataFrame) -> Deletion:
     """Delete ``keys`` (one column, the primary key) from ``root`` and follow the declared rules.
 
-    Each table is joined once per reference to the (distinct) deleted keys of the parent. Rows whose
-    reference is null get a key of their own for the join, so that they do not pile up in one task.
+    Each table is joined once per reference to the deleted keys of the parent. These are settled once a table, so every
+    result reads its own table once and keys, but no parent again. Rows whose reference is null get a key of
+    their own for the join, so that they do not pile up in one task. Null keys delete nothing, repeated ones count once.
     """
-    out = Deletion({}, {}, {})
+    out = Deletion({}, {}, {}, {})
+    lost: dict[tuple[str, str], DataFrame] = {}
     for name in _parents_first(tables):
         table, rows = TABLES[name], tables[name]
         salt = F.col(table.key) if table.key in rows.columns else F.xxhash64(*rows.columns)
-        gone, marked, blocked = [], rows.withColumn("__salt", salt), []
+        gone, blocked, marked = [], [], rows.withColumn("__salt", salt.cast("string"))
+
+        def matched(marked: DataFrame, column: str, target: DataFrame, flag: str) -> DataFrame:
+            key = spread_nulls(F.col(column), F.col("__salt"))
+            return marked.withColumn("__key", key).join(target.withColumn(flag, F.lit(True)), "__key", "left").drop("__key")
+
         if name == root:
-            marked = marked.join(keys.select(table.key, F.lit(True).alias("__root")), table.key, "left")
+            wanted = keys.where(F.col(table.key).isNotNull()).select(F.col(table.key).cast("string").alias("__key")).distinct()
+            marked = matched(marked, table.key, wanted, "__root")
             gone.append(F.col("__root").isNotNull())
         for n, ref in enumerate(table.refs):
-            if ref.parent not in out.deleted or ref.column not in rows.columns:
+            target = lost.get((ref.parent, ref.parent_column))
+            if target is None or ref.column not in rows.columns:
                 continue
             flag = f"__ref{n}"
-            lost = out.deleted[ref.parent].select(
-                F.col(ref.parent_column).cast("string").alias("__key"), F.lit(True).alias(flag)
-            )
-            marked = marked.withColumn("__key", spread_nulls(F.col(ref.column), F.col("__salt")))
-            marked = marked.join(lost, "__key", "left").drop("__key")
+            marked = matched(marked, ref.column, target, flag)
             if ref.on_delete == "cascade":
                 gone.append(F.col(flag).isNotNull())
             elif ref.on_delete == "set null":
-                marked = marked.withColumn(
-                    ref.column, F.when(F.col(flag).isNull(), F.col(ref.column))
-                )
+                marked = marked.withColumn(ref.column, F.when(F.col(flag).isNull(), F.col(ref.column)))
             else:
-                blocked.append(F.col(flag).isNotNull())
-        dead = _either(gone)
+                blocked.append(F.when(F.col(flag).isNotNull(), ref.column))
+        against = F.array_compact(F.array(*blocked)).cast("array<string>")
+        fate = F.when(_either(gone), DELETED).when(F.size(against) > 0, BLOCKING).otherwise(KEPT)
+        fates = marked.withColumns({"fate": fate, "blocked_by": against}).select(*rows.columns, "fate", "blocked_by")
+        out.fates[name] = fates
         if gone:
-            out.deleted[name] = marked.filter(dead).select(*rows.columns)
+            dead = fates.where(F.col("fate") == DELETED)
+            out.deleted[name] = dead.select(*rows.columns)
+            used = {r.parent_column for t in tables for r in TABLES[t].refs if r.parent == name and r.parent_column in rows.columns}
+            for column in sorted(used):
+                lost[name, column] = checkpoint(
+                    dead.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("__key")).distinct()
+                )
         if blocked:
-            out.blocking[name] = marked.filter(_either(blocked) & ~dead).select(*rows.columns)
-        out.kept[name] = marked.filter(~dead).select(*rows.columns)
+            out.blocking[name] = fates.where(F.col("fate") == BLOCKING).select(*rows.columns)
+        out.kept[name] = fates.where(F.col("fate") != DELETED).select(*rows.columns)
     return out

@@ -110,7 +110,13 @@ def c4(spark, d):
         "security_issues": views.stored_issues(spark, d),
     }
     effect = integrity.delete(tables, "github_repos", building.select(F.col("c_custkey").cast("int").alias("id")))
-    return integrity.union_all([_tally(name, n_kept=effect.kept[name], n_deleted=effect.deleted[name]) for name in tables])
+    gone = F.col("fate") == integrity.DELETED
+    return integrity.union_all(
+        [
+            rows.agg(F.count_if(~gone).alias("n_kept"), F.count_if(gone).alias("n_deleted")).select(F.lit(name).alias("name"), "n_kept", "n_deleted")
+            for name, rows in effect.fates.items()
+        ]
+    )
 
 
 def _tally(name, **frames):
@@ -186,6 +192,132 @@ def c8(spark, d):
     )
 
 
+# --- the whole catalogue ---------------------------------------------------------------------------
+
+
+@query(
+    "c1_all_tables",
+    _ISSUES + """
+, fact AS (
+  SELECT 'github_app_installations' AS "table", 'updated_at' AS column, 'null' AS fact, count(*) AS n FROM nation
+  UNION ALL SELECT 'code_reviews', 'commit_sha', 'too_long', count(*) FILTER (lang = 'fr') FROM documents
+  UNION ALL SELECT 'security_issues', 'tool', 'outside', count(*) FILTER (tool = 'other') FROM issue
+  UNION ALL SELECT 'security_issues', 'severity', 'outside', count(*) FILTER (severity = 'unknown') FROM issue
+  UNION ALL SELECT 'security_issues', 'status', 'outside', count(*) FILTER (status = 'wontfix') FROM issue
+  UNION ALL SELECT 'security_issues', 'title', 'null', count(*) FILTER (no_title) FROM issue
+  UNION ALL SELECT 'security_issues', 'description', 'null', count(*) FILTER (no_description) FROM issue)
+SELECT * FROM fact WHERE n > 0""",
+)
+def c1_all(spark, d):
+    """Nulls, lengths and closed sets of every shaped table; a fact that is not listed holds everywhere."""
+    return integrity.facts(views.catalogue(spark, d))
+
+
+@query(
+    "c2_all_keys",
+    _REVIEWS + """
+SELECT 'code_reviews' AS "table", 'repo_id,file_path,branch,line_start,line_end' AS rule,
+  to_json([repo_id::VARCHAR, file_path, branch, line_start::VARCHAR, line_end::VARCHAR])::VARCHAR AS key, count(*) AS n
+FROM review WHERE branch IS NOT NULL GROUP BY repo_id, file_path, branch, line_start, line_end HAVING count(*) > 1
+UNION ALL SELECT 'code_review_comments', 'id', (conv_id * 100 + turn)::VARCHAR, count(*) FROM conversations GROUP BY 3 HAVING count(*) > 1
+UNION ALL SELECT 'security_scans', 'id', o_orderkey::VARCHAR, count(*) FROM orders GROUP BY 3 HAVING count(*) > 1
+UNION ALL SELECT 'security_scans', 'scan_id', 'scan_' || o_orderkey, count(*) FROM orders GROUP BY 3 HAVING count(*) > 1
+UNION ALL SELECT 'quality_gates', 'repo_id', c_custkey::VARCHAR, count(*) FROM customer GROUP BY 3 HAVING count(*) > 1""",
+)
+def c2_all(spark, d):
+    return integrity.colliding_keys(views.catalogue(spark, d))
+
+
+_REFERENCES = [
+    ("team_members", "user_id", "users", "s_suppkey", "supplier"),
+    ("team_members", "team_id", "teams", "s_nationkey % 4", "supplier"),
+    ("activity_logs", "team_id", "teams", "user_id % 5", "events"),
+    ("activity_logs", "user_id", "users", "CASE WHEN event_type <> 'view' THEN user_id END", "events"),
+    ("ai_usage_events", "user_id", "users", "user_id", "events"),
+    ("ai_usage_events", "team_id", "teams", "user_id % 5", "events"),
+    ("invitations", "team_id", "teams", "c_nationkey % 5", "customer"),
+    ("invitations", "invited_by", "users", "c_custkey % 50", "customer"),
+    ("github_app_installations", "user_id", "users", "n_nationkey % 50", "nation"),
+    ("github_repos", "user_id", "users", "c_custkey % 50", "customer"),
+    ("github_repos", "team_id", "teams", "CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey % 5 END", "customer"),
+    ("github_repos", "installation_id", "github_app_installations", "CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END", "customer"),
+    ("code_reviews", "repo_id", "github_repos", "TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT)", "documents"),
+    ("code_review_comments", "repo_id", "github_repos", "conv_id % 20", "conversations"),
+    ("code_review_comments", "user_id", "users", "conv_id % 50", "conversations"),
+    ("code_review_status_events", "repo_id", "github_repos", "user_id % 20", "events"),
+    ("security_scans", "repo_id", "github_repos", "o_custkey", "orders"),
+    ("security_scans", "user_id", "users", "CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 150 END", "orders"),
+    ("security_scans", "team_id", "teams", "CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 7 END", "orders"),
+    ("security_issues", "scan_id", "security_scans", "'scan_' || l_orderkey", "lineitem"),
+    ("security_issues", "resolved_by", "users", "CASE WHEN l_returnflag = 'R' THEN l_suppkey + 5 END", "lineitem"),
+    ("scan_quotas", "team_id", "teams", "n_nationkey", "nation"),
+    ("quality_gates", "repo_id", "github_repos", "c_custkey", "customer"),
+]
+_TARGETS = """
+target AS (
+  SELECT 'users' AS parent, s_suppkey::VARCHAR AS value FROM supplier UNION SELECT 'teams', r_regionkey::VARCHAR FROM region
+  UNION SELECT 'github_repos', c_custkey::VARCHAR FROM customer UNION SELECT 'github_app_installations', n_nationkey::VARCHAR FROM nation
+  UNION SELECT 'security_scans', 'scan_' || o_orderkey FROM orders)"""
+
+
+def _references_sql() -> str:
+    parts = [
+        f"SELECT '{name}' AS \"table\", '{column}' AS column, '{parent}' AS parent, ({value})::VARCHAR AS value FROM {source}"
+        for name, column, parent, value, source in _REFERENCES
+    ]
+    return f"""
+WITH entry AS ({" UNION ALL ".join(parts)}), {_TARGETS.strip()}
+SELECT "table", "column", e.parent, e.value, count(*) AS n FROM entry e LEFT JOIN target t ON e.parent = t.parent AND e.value = t.value
+WHERE e.value IS NOT NULL AND t.value IS NULL GROUP BY ALL"""
+
+
+@query("c3_all_references", _references_sql())
+def c3_all(spark, d):
+    return integrity.dangling(views.catalogue(spark, d))
+
+
+@query(
+    "c7_all_sets",
+    _ISSUES + """
+SELECT 'security_issues' AS "table", 'tool' AS column, tool AS value, count(*) AS n FROM issue
+WHERE tool NOT IN ('semgrep', 'opengrep', 'gitleaks', 'checkov', 'trivy') GROUP BY tool
+UNION ALL SELECT 'security_issues', 'severity', severity, count(*) FROM issue WHERE severity NOT IN ('critical', 'high', 'medium', 'low', 'info') GROUP BY severity
+UNION ALL SELECT 'security_issues', 'status', status, count(*) FROM issue WHERE status = 'wontfix' GROUP BY status
+UNION ALL SELECT 'webhook_events', 'status', s, count(*) FROM (SELECT ['success', 'failure', 'pending', 'success'][event_id % 4 + 1] AS s FROM events)
+  WHERE s NOT IN ('success', 'failure', 'pending') GROUP BY s
+UNION ALL SELECT 'scan_jobs', 'status', s, count(*) FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS s FROM orders)
+  WHERE s NOT IN ('queued', 'running', 'completed', 'failed') GROUP BY s""",
+)
+def c7_all(spark, d):
+    tables = views.catalogue(spark, d)
+    judged = {name: rows for name, rows in tables.items() if any(c.values and c.name in rows.columns for c in TABLES[name].columns)}
+    outside = [integrity.outside_sets(rows, TABLES[name]).withColumn("table", F.lit(name)) for name, rows in judged.items()]
+    return integrity.union_all(outside)
+
+
+@query(
+    "c5_blocking_references",
+    """
+WITH gone AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5),
+lost AS (SELECT n_nationkey FROM nation WHERE n_nationkey % 50 IN (FROM gone))
+SELECT 'github_repos' AS name, "column", count(*) AS n FROM (
+  SELECT unnest([CASE WHEN c_custkey % 50 IN (FROM gone) THEN 'user_id' END,
+                 CASE WHEN c_nationkey % 5 <> 0 AND c_nationkey IN (FROM lost) THEN 'installation_id' END]) AS column FROM customer)
+WHERE "column" IS NOT NULL GROUP BY "column"
+UNION ALL SELECT 'team_members', 'user_id', count(*) FROM gone
+UNION ALL SELECT 'invitations', 'invited_by', count(*) FROM customer WHERE c_custkey % 50 IN (FROM gone)
+UNION ALL SELECT 'activity_logs', 'user_id', count(*) FROM events WHERE event_type <> 'view' AND user_id IN (FROM gone)""",
+)
+def c5_blocking(spark, d):
+    """Rows that forbid the deletion of users, by the reference that does, cascades to installations included."""
+    leaving = table(spark, d, "supplier").filter(F.col("s_nationkey") < 5).select(F.col("s_suppkey").cast("int").alias("id"))
+    names = ["users", "github_app_installations", "github_repos", "team_members", "invitations", "activity_logs"]
+    shaped = views.catalogue(spark, d)
+    effect = integrity.delete({n: shaped[n] for n in names}, "users", leaving)
+    held = [rows.select(F.lit(n).alias("name"), F.explode("blocked_by").alias("column")) for n, rows in effect.fates.items()]
+    return integrity.union_all(held).groupBy("name", "column").agg(F.count("*").alias("n"))
+
+
 # --- relations -----------------------------------------------------------------------------------
 
 

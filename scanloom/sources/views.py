@@ -498,3 +498,15 @@ def api_keys(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("id"),
         F.when(F.col("s_acctbal") >= 0, F.timestamp_add("MINUTE", F.col("s_nationkey") - 12, now())).alias("expires_at"),
     )
+
+
+def catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All shaped tables by their declared names."""
+    shaped = {
+        "users": users, "teams": teams, "team_members": team_members, "activity_logs": activity_logs, "ai_usage_events": usage_events,
+        "invitations": invitations, "github_app_installations": installations, "github_repos": repos, "code_reviews": reviews,
+        "code_review_comments": comments, "code_review_status_events": status_changes, "security_scans": stored_scans,
+        "security_issues": stored_issues, "scan_quotas": scan_quotas, "api_keys": api_keys, "quality_gates": quality_gates,
+        "webhook_events": webhook_events, "scan_jobs": scan_jobs,
+    }
+    return {name: view(spark, folder) for name, view in shaped.items()}

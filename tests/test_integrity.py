@@ -100,3 +100,75 @@ def test_hot_orphans(spark):
     counts = {r["fk"]: r["n_rows"] for r in integrity.orphan_counts(child, Ref("fk", "users"), parent).collect()}
     brute = integrity.orphans(child, Ref("fk", "users"), parent).groupBy("fk").count().collect()
     assert counts == {r["fk"]: r["count"] for r in brute} and counts[7] >= 3000
+
+
+def test_facts_of_all_tables(spark):
+    tables = {
+        "users": spark.createDataFrame([(1, None, "x" * 101), (2, "a@b", "n"), (None, "c@d", None)], "id INT, email STRING, name STRING"),
+        "scan_jobs": spark.createDataFrame([("queued",), ("lost",), (None,)], "status STRING"),
+        "github_tokens": spark.createDataFrame([("odd",)], "unknown STRING"),
+    }
+    assert sorted(map(tuple, integrity.facts(tables).collect())) == [
+        ("scan_jobs", "status", "null", 1), ("scan_jobs", "status", "outside", 1),
+        ("users", "email", "null", 1), ("users", "id", "null", 1), ("users", "name", "too_long", 1),
+    ]
+    empty = {n: df.limit(0) for n, df in tables.items()}
+    assert integrity.facts(empty).isEmpty()
+
+
+def test_keys_of_all_tables(spark):
+    tables = {
+        "users": spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (None, None), (None, None)], "id INT, email STRING"),
+        "github_repos": spark.createDataFrame(
+            [(1, 1, 'x","y', 1), (2, 1, 'x","y', None), (3, 1, "x", None), (4, 1, "x", None)], "id INT, user_id INT, github_id STRING, team_id INT"
+        ),
+    }
+    assert sorted(map(tuple, integrity.colliding_keys(tables).collect())) == [
+        ("github_repos", "user_id,github_id", '["1","x"]', 2), ("github_repos", "user_id,github_id", '["1","x\\",\\"y"]', 2),
+        ("users", "email", "b", 2), ("users", "id", "1", 2),
+    ]
+
+
+def test_references_of_all_tables(spark):
+    tables = {
+        "users": spark.createDataFrame([(1,), (None,)], "id INT"),
+        "github_repos": spark.createDataFrame([(5, 1, 9), (6, 3, 9), (7, 3, None), (8, None, 9)], "id INT, user_id INT, installation_id INT"),
+        "security_scans": spark.createDataFrame([("s", 5), ("t", 99)], "scan_id STRING, repo_id INT"),
+        "security_issues": spark.createDataFrame([("s", 1), ("u", 2), ("u", None)], "scan_id STRING, resolved_by INT"),
+    }
+    # Installations are not given, so references to them are not judged.
+    assert sorted(map(tuple, integrity.dangling(tables).collect())) == [
+        ("github_repos", "user_id", "users", "3", 2), ("security_issues", "resolved_by", "users", "2", 1),
+        ("security_issues", "scan_id", "security_scans", "u", 2), ("security_scans", "repo_id", "github_repos", "99", 1),
+    ]
+
+
+def test_fates_read_each_table_once(spark, tmp_path):
+    rows = {
+        "users": spark.range(20).select(F.col("id").cast("int")),
+        "github_app_installations": spark.range(40).select(F.col("id").cast("int"), (F.col("id") % 20).cast("int").alias("user_id")),
+        # A third of the repositories belong to one user, a third to none.
+        "github_repos": spark.range(300).select(
+            F.col("id").cast("int"), F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, (F.col("id") % 20).cast("int")).alias("user_id"),
+            (F.col("id") % 40).cast("int").alias("installation_id"),
+        ),
+    }
+    tables = {}
+    for name, frame in rows.items():
+        frame.write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    keys = spark.createDataFrame([(1,), (1,), (None,), (7,)], "id INT")
+    effect = integrity.delete(tables, "users", keys)
+    for name, fates in effect.fates.items():
+        plan = fates._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1, name
+        assert fates.count() == rows[name].count()
+    lost = {1, 7}
+    want = []
+    for r in rows["github_repos"].collect():
+        against = [c for c, bad in (("user_id", r.user_id in lost), ("installation_id", r.installation_id % 20 in lost)) if bad]
+        want.append((r.id, integrity.BLOCKING if against else integrity.KEPT, against))
+    got = effect.fates["github_repos"].select("id", "fate", "blocked_by").collect()
+    assert sorted(map(tuple, got)) == want
+    assert sorted(r.id for r in effect.deleted["users"].collect()) == [1, 7] and effect.kept["users"].count() == 18
+    assert integrity.delete(tables, "users", keys.limit(0)).deleted["users"].isEmpty()
