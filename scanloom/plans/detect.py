@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom import constants as K
-from scanloom.operators import advisories, detect, ordinals, secrets, summary
+from scanloom.operators import advisories, detect, ordinals, policies, secrets, summary
 from scanloom.plans.registry import query
 from scanloom.plans.report_sql import COUNTERS
 from scanloom.sources import files as fs
@@ -303,3 +303,90 @@ def r4_ranged(spark, d):
     found = advisories.ranged_findings(_lock_files(spark, d), _ranged_advisories(spark, d))
     issues = detect.as_issues(found, "trivy")
     return issues.select("scan_id", "file_path", "title", "severity", F.regexp_extract("recommendation", r" to (\S+)$", 1).alias("fixed")).replace("", None, "fixed")
+
+
+def _nested_configs(spark, d):
+    """A document an event: a bucket, for some a network, and a user of the bucket of another event of the kind."""
+    key, user = F.col("event_id"), F.col("user_id")
+    k = F.from_json("props", "k INT")["k"]
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    bucket = F.struct(
+        F.struct((k % 3 != 0).alias("enabled"), F.when(k % 2 == 0, "aes256").otherwise("des").alias("algorithm"), (k % 7).alias("rotation")).alias("encryption"),
+        F.struct(k.alias("keep"), (k % 5 == 0).alias("locked")).alias("versions"),
+        F.struct(F.when(k % 4 != 0, text("team", k)).alias("owner"), F.when(k % 6 == 0, "x").alias("temporary")).alias("tags"),
+        F.when(k % 8 == 0, F.array(F.lit("private"), F.lit("public-read"))).otherwise(F.array(F.lit("private"))).alias("acl"),
+        F.struct(F.array(F.struct(F.when(k % 9 == 0, "0.0.0.0/0").otherwise("10.0.0.0/8").alias("from"))).alias("allow")).alias("access"),
+        F.when(k % 10 != 9, text("network.n", user % 40)).alias("network"),
+    )
+    network = F.struct(
+        F.struct((k > 30).alias("enabled"), (k * 2).alias("days")).alias("logging"),
+        F.when(k % 3 == 0, F.array(F.lit("22"), F.lit("443"))).otherwise(F.array(F.lit("443"))).alias("ports"),
+        F.when(k % 5 != 1, text("zone-", k % 4)).alias("zone"),
+    )
+    role = F.struct(text("bucket.b", key - key % 3).alias("bucket"), F.array(F.lit("read"), F.when(k % 4 == 0, "*").otherwise("list")).alias("actions"))
+    entry = lambda kind, name, settings: F.to_json(F.struct(F.lit(kind).alias("type"), name.alias("name"), settings.alias("settings")))
+    listed = F.array_compact(
+        F.array(
+            entry("bucket", text("b", key), bucket),
+            F.when(key % 4 == 0, entry("network", text("n", F.floor(key / 4) % 40), network)),
+            F.when(key % 2 == 0, entry("role", text("r", key), role)),
+        )
+    )
+    return table(spark, d, "events").select(
+        F.concat(F.lit("scan_"), F.col("event_type")).alias("scan_id"),
+        F.lit("/scan").alias("scan_root"),
+        text("/scan/conf/", key, ".json").alias("path"),
+        F.concat(F.lit('{"version": 1, "resources": ['), F.array_join(listed, ", "), F.lit("]}")).alias("text"),
+    )
+
+
+# Each rule with the condition under which it fails, by the columns the documents are made of.
+_NESTED = [
+    (policies.PathRule("B1", "encrypted", "policy.CRITICAL", "bucket", "$.encryption.enabled", "equals", "true"), "k % 3 = 0"),
+    (policies.PathRule("B2", "strong cipher", "policy.HIGH", "bucket", "$.encryption.algorithm", "one_of", ("aes256", "aes128")), "k % 2 = 1"),
+    (policies.PathRule("B3", "weak cipher", "policy.HIGH", "bucket", "$.encryption.algorithm", "differs", "des"), "k % 2 = 1"),
+    (policies.PathRule("B4", "keys rotate", "policy.MEDIUM", "bucket", "$.encryption.rotation", "at_least", 2), "k % 7 < 2"),
+    (policies.PathRule("B5", "few versions", "policy.ALLOW", "bucket", "$.versions.keep", "at_most", 60), "k > 60"),
+    (policies.PathRule("B6", "locked", "policy.MEDIUM", "bucket", "$.versions.locked", "equals", "true"), "k % 5 <> 0"),
+    (policies.PathRule("B7", "has an owner", "policy.ALLOW", "bucket", "$.tags.owner", "present"), "k % 4 = 0"),
+    (policies.PathRule("B8", "owner is a team", "policy", "bucket", "$.tags.owner", "matches", "^team[0-9]$"), "k % 4 = 0 OR k > 9"),
+    (policies.PathRule("B9", "not temporary", "policy.ALLOW", "bucket", "$.tags.temporary", "absent"), "k % 6 = 0"),
+    (policies.PathRule("B10", "not public", "policy.CRITICAL", "bucket", "$.acl", "none_of", ("public-read", "public-write")), "k % 8 = 0"),
+    (policies.PathRule("B11", "private listed", "policy", "bucket", "$.acl", "all_of", ("private",)), "FALSE"),
+    (policies.PathRule("B12", "closed to the world", "policy.HIGH", "bucket", "$.access.allow[0].from", "differs", "0.0.0.0/0"), "k % 9 = 0"),
+    (policies.PathRule("N1", "network logs", "policy.HIGH", "network", "$.logging.enabled", "equals", "true"), "NOT k > 30"),
+    (policies.PathRule("N2", "logs are kept", "policy.MEDIUM", "network", "$.logging.days", "at_least", 30.5), "k * 2 < 30.5"),
+    (policies.PathRule("N3", "no shell port", "policy.HIGH", "network", "$.ports", "none_of", ("22",)), "k % 3 = 0"),
+    (policies.PathRule("N4", "zone named", "policy.ALLOW", "network", "$.zone", "matches", "^zone-[0-2]$"), "k % 5 = 1 OR k % 4 = 3"),
+    (policies.PathRule("R1", "no wildcard", "policy.CRITICAL", "role", "$.actions", "none_of", ("*",)), "k % 4 = 0"),
+    (policies.TargetRule("X1", "in a known network", "policy.MEDIUM", "bucket", "$.network", policies.PathRule("", "", "", "network", "$.logging", "present")), ""),
+    (policies.TargetRule("X2", "network logs", "policy.HIGH", "bucket", "$.network", policies.PathRule("", "", "", "network", "$.logging.enabled", "equals", "true")), ""),
+    (policies.NeededRule("X3", "a role uses it", "policy.ALLOW", "bucket", "role", "$.bucket"), ""),
+]
+_OF_TYPE = {"bucket": ("TRUE", "'b' || event_id"), "network": ("event_id % 4 = 0", "'n' || (event_id // 4 % 40)"), "role": ("event_id % 2 = 0", "'r' || event_id")}
+
+
+def _nested_sql() -> str:
+    parts = []
+    for rule, fails in _NESTED:
+        if fails:
+            exists, name = _OF_TYPE[rule.type]
+            parts.append(f"SELECT event_type, event_id, '{rule.name}' AS title, '{rule.type}.' || {name} AS resource FROM e WHERE {exists} AND ({fails})")
+    return f"""
+WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events),
+net AS (SELECT event_type, event_id // 4 % 40 AS n, bool_or(k > 30) AS logs FROM e WHERE event_id % 4 = 0 GROUP BY ALL),
+used AS (SELECT DISTINCT event_type, event_id - event_id % 3 AS bucket FROM e WHERE event_id % 2 = 0),
+placed AS (SELECT e.event_type, e.event_id, net.n IS NOT NULL AS known, net.logs FROM e LEFT JOIN net ON net.event_type = e.event_type AND net.n = e.user_id % 40 AND k % 10 <> 9),
+failed AS (
+  {" UNION ALL ".join(parts)}
+  UNION ALL SELECT event_type, event_id, 'in a known network', 'bucket.b' || event_id FROM placed WHERE NOT known
+  UNION ALL SELECT event_type, event_id, 'network logs', 'bucket.b' || event_id FROM placed WHERE NOT coalesce(logs, false)
+  UNION ALL SELECT e.event_type, e.event_id, 'a role uses it', 'bucket.b' || e.event_id FROM e ANTI JOIN used u ON u.event_type = e.event_type AND u.bucket = e.event_id)
+SELECT 'scan_' || event_type AS scan_id, 'conf/' || event_id || '.json' AS file_path, title, '{K.POLICY_DESCRIPTION}' || resource AS description FROM failed"""
+
+
+@query("r3_nested_policies", _nested_sql())
+def r3_nested(spark, d):
+    """Twenty rules on nested settings, three of them across resources of a scan."""
+    found = policies.nested_findings(_nested_configs(spark, d), tuple(rule for rule, _ in _NESTED))
+    return detect.as_issues(found, "checkov").select("scan_id", "file_path", "title", "description")
