@@ -23,6 +23,32 @@ JSON_OPTIONS = {
 }
 
 
+@dataclass(frozen=True)
+class MustBeText:
+    """The field that voids a report if it is a number, a truth value or an object; the parser alone would take its text.
+
+    ``document`` is the report's type with nothing but this field, as a variant; ``values`` takes it to an array beside that of
+    the findings; ``cleared`` gives a finding without the field. ``suspect`` is a coarse pattern for reports that have to be
+    looked at: no other is parsed a second time. A key may be written with escapes, so these are suspect as well.
+    """
+
+    name: str
+    document: str
+    values: Callable[[Column], Column]
+    cleared: Callable[[Column], Column]
+
+    @property
+    def suspect(self) -> str:
+        return rf'"{self.name}"\s*:\s*[-0-9tf{{]|\\u00'
+
+    def checked(self, found: Column, text: Column) -> Column:
+        """The findings, with the field null where it is no text; ``text`` is null for reports beyond suspicion."""
+        kind = F.schema_of_variant
+        odd = lambda v: F.coalesce(~kind(v).isin("STRING", "VOID") & ~F.startswith(kind(v), F.lit("ARRAY")), F.lit(False))
+        values = self.values(parse_document(text, self.document)["r"])
+        return F.zip_with(found, values, lambda f, v: F.when(odd(v), self.cleared(f)).otherwise(f))
+
+
 @dataclass(frozen=True)
 class Dialect:
     """How one scanner's JSON is read.
@@ -44,6 +70,7 @@ class Dialect:
     exit_code_counts: bool = True
     object_root: bool = True
     bad_json_is_error: bool = True
+    must_be_text: MustBeText | None = None
 
 
 def parse_document(text: Column, document: str) -> Column:
@@ -68,6 +95,12 @@ RULES = Dialect(
     | f["start"].isNull()
     | f["end"].isNull(),
     blank_is_error=True,
+    must_be_text=MustBeText(
+        "severity",
+        "STRUCT<results: ARRAY<STRUCT<extra: STRUCT<severity: VARIANT>>>>",
+        lambda doc: F.transform(doc["results"], lambda f: f["extra"]["severity"]),
+        lambda f: f.withField("extra.severity", F.lit(None).cast("string")),
+    ),
 )
 
 # --- secrets ---------------------------------------------------------------------------------
@@ -77,6 +110,12 @@ SECRETS = Dialect(
     finding=schemas.SECRET_FINDING,
     findings=lambda doc: doc,
     unusable=lambda f: f.isNull() | f["Secret"].isNull(),
+    must_be_text=MustBeText(
+        "Secret",
+        "ARRAY<STRUCT<Secret: VARIANT>>",
+        lambda doc: F.transform(doc, lambda f: f["Secret"]),
+        lambda f: f.withField("Secret", F.lit(None).cast("string")),
+    ),
     exit_code_counts=False,
     object_root=False,
 )
@@ -118,6 +157,19 @@ POLICIES = Dialect(
     unusable=lambda f: f.isNull() | f["check_class"].isNull() | f["file_line_range"].isNull(),
     broken=lambda doc: _any(doc, lambda part: part.isNull()),
     body=_as_list,
+    must_be_text=MustBeText(
+        "check_class",
+        "ARRAY<STRUCT<results: STRUCT<failed_checks: ARRAY<STRUCT<check_class: VARIANT>>>>>",
+        lambda doc: F.flatten(
+            F.transform(
+                doc,
+                lambda part: F.coalesce(
+                    F.transform(part["results"]["failed_checks"], lambda f: f["check_class"]), F.array().cast("ARRAY<VARIANT>")
+                ),
+            )
+        ),
+        lambda f: f.withField("check_class", F.lit(None).cast("string")),
+    ),
     lenient=_policy_lenient,
     exit_code_counts=False,
     object_root=False,
@@ -170,6 +222,17 @@ PACKAGES = Dialect(
     broken=lambda doc: _any(doc["Results"], lambda r: r.isNull()),
     lenient=_package_lenient,
     bad_json_is_error=False,
+    must_be_text=MustBeText(
+        "Severity",
+        "STRUCT<Results: ARRAY<STRUCT<Vulnerabilities: ARRAY<STRUCT<Severity: VARIANT>>>>>",
+        lambda doc: F.flatten(
+            F.transform(
+                doc["Results"],
+                lambda r: F.coalesce(F.transform(r["Vulnerabilities"], lambda v: v["Severity"]), F.array().cast("ARRAY<VARIANT>")),
+            )
+        ),
+        lambda f: f.withField("vuln.Severity", F.lit(None).cast("string")),
+    ),
 )
 
 
@@ -204,6 +267,9 @@ def read_reports(reports: DataFrame, dialect: Dialect, mode: str = "strict") ->
     if dialect.object_root:
         late = late.when(corrupt & ~js_trim(untyped["r"]).startswith("{"), "no_results")
     found = dialect.findings(doc)
+    if dialect.must_be_text is not None:
+        suspect = ~corrupt & F.col("stdout").rlike(dialect.must_be_text.suspect)
+        found = F.when(suspect, dialect.must_be_text.checked(found, F.when(suspect, dialect.body(F.col("stdout"))))).otherwise(found)
     if dialect.lenient is None:
         late = late.when(corrupt, "bad_type")
     else:

@@ -8,6 +8,7 @@ A scan stores all its issues or none: those of a scan that fails stay in the bat
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -151,15 +152,18 @@ class JobRun:
 
     def _scan(self, spark: SparkSession, runnable: DataFrame, batch: str) -> DataFrame:
         """Store the issues of the batch's completed scans and return how its scans end."""
+        start = time.monotonic()
         reports = self.reports_for(runnable)
         issues = conform.all_issues(reports, tools=list(reports) if isinstance(reports, dict) else None)
         rows = conform.sink_rows(issues, self.now)
         self._write(rows, FINDINGS, batch)
+        # The scans of a batch run side by side: each took as long as all of them.
+        took = F.lit(round((time.monotonic() - start) * 1000))
         # Judged and stored from what was written: the reports are not parsed again.
         found = spark.read.schema(rows.schema).parquet(f"{self.out}/{FINDINGS}/batch={batch}")
         skip = F.array().cast("array<string>") if self.skip_tools is None else self.skip_tools
         requested = runnable.select("scan_id", conform.tools_to_run(skip).alias("tools"))
-        closed = updates.closing(runnable, found, requested, F.lit(0), self.now)
+        closed = updates.closing(runnable, found, requested, took, self.now)
         failed = closed.filter(F.col("failed_at").isNotNull()).select("scan_id")
         self._write(found.join(failed, "scan_id", "left_anti"), ISSUES, batch)
         return closed

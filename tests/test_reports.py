@@ -90,6 +90,36 @@ def test_outcomes(spark):
         assert not wrong, (tool, wrong)
 
 
+def replaced(obj, value, *path):
+    copy = json.loads(json.dumps(obj))
+    inner = copy
+    for key in path[:-1]:
+        inner = inner[key]
+    inner[path[-1]] = value
+    return copy
+
+
+@pytest.mark.parametrize(
+    ("tool", "wrap", "good", "path"),
+    [
+        ("semgrep", rules, RULE, ("extra", "severity")), ("gitleaks", secrets, SECRET, ("Secret",)),
+        ("checkov", checks, CHECK, ("check_class",)), ("trivy", vulns, VULN, ("Severity",)),
+    ],
+)
+def test_numbers_are_no_texts(spark, tool, wrap, good, path):
+    """A text field that holds a number, a truth value or an object voids the report; the same in quotes does not."""
+    bad = [wrap(good, replaced(good, v, *path), good) for v in (12345678901, -1.5, True, False, {"a": 1})]
+    fine = [wrap(good, replaced(good, v, *path), good) for v in ("12345678901", "true", '{"a": 1}', 'x "Secret": 5')]
+    escaped = wrap(good, replaced(good, 7, *path)).replace('"' + path[-1], '"\\u00%02x' % ord(path[-1][0]) + path[-1][1:])
+    texts = [*bad, escaped, *fine]
+    rows = spark.createDataFrame([(str(i), tool, "/root", 0, None, s) for i, s in enumerate(texts)], schemas.REPORT)
+    for mode, want in (("strict", ["error"] * 6 + ["ok"] * 4), ("quarantine", ["ok"] * 10)):
+        got = {r["scan_id"]: (r["status"], r["n_findings"]) for r in conform.report_status(rows, mode, [tool]).collect()}
+        assert [got[str(i)][0] for i in range(len(texts))] == want, (mode, got)
+        if mode == "quarantine":
+            assert [got[str(i)][1] for i in range(len(texts))] == [2] * 5 + [1] + [3] * 4
+
+
 def test_odd_parts_are_skipped_not_fatal(spark):
     mixed = '{"Results":[{"Target":"a","Vulnerabilities":"x"},{"Target":"b","Vulnerabilities":[%s]}]}' % json.dumps(VULN)
     issues = conform.tool_issues(frame(spark, "trivy", mixed), "trivy").collect()

@@ -59,6 +59,8 @@ def test_copies_and_redelivery(spark, tmp_path):
     assert b.rows(js.ISSUES, "scan_id", "title") == [("a", "Secret Detected: x"), ("b", "Secret Detected: x")]
     deliver(spark, b.inbox, message(1, "a", 30))
     b.run()
+    took = b.rows(js.SCAN_UPDATES, "scan_duration")
+    assert len(took) == 2 and all(0 < ms < 600_000 for (ms,) in took)  # in milliseconds, from the first report to the last finding
     # The finished scan is answered again but not scanned again.
     assert b.rows(js.ISSUES, "scan_id") == [("a",), ("b",)]
     assert b.rows(js.SCAN_UPDATES, "scan_id", "status", "total_issues") == [("a", "completed", 1), ("b", "completed", 1)]
