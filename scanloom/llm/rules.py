@@ -15,8 +15,6 @@ REPEATED_PERCENT = 30
 #: Common words of a language: its most frequent words of at most so many letters.
 COMMON = 32
 SHORT = 4
-#: Bound of the SQL twin alone: its references are those of the languages with most words.
-LANGUAGES = 64
 #: Words that all texts of a language must have together to make a reference; below, distances do not judge its texts.
 REFERENCE_WORDS = 5000
 ALL = ""

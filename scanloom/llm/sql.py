@@ -93,8 +93,8 @@ WITH docs AS (
 ), short AS (
   SELECT n, lang, LOWER(w) AS word FROM words WHERE regexp_full_match(LOWER(w), '\p{{L}}{{1,{rules.SHORT}}}')
 ), chosen AS (
-  (SELECT lang, SUM(n_words) AS n_words, {", ".join(f"SUM(c{i}) AS c{i}" for i in range(_N + 2))}
-   FROM classed WHERE lang <> '' GROUP BY lang ORDER BY n_words DESC, lang LIMIT {rules.LANGUAGES})
+  SELECT lang, SUM(n_words) AS n_words, {", ".join(f"SUM(c{i}) AS c{i}" for i in range(_N + 2))}
+  FROM classed WHERE lang <> '' GROUP BY lang HAVING SUM(classed.n_words) >= {rules.REFERENCE_WORDS}
   UNION ALL
   SELECT '', SUM(n_words), {", ".join(f"SUM(c{i})" for i in range(_N + 2))} FROM classed
 ), counted AS (
@@ -105,8 +105,7 @@ WITH docs AS (
   FROM counted JOIN chosen USING (lang)
   QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY k DESC, word) <= {rules.COMMON}
 ), refs AS (
-  SELECT d.n, d.n_words, CASE WHEN c.lang IS NULL THEN '' ELSE d.lang END AS lang
-  FROM classed d LEFT JOIN chosen c ON c.lang = d.lang
+  SELECT n, n_words, lang FROM classed WHERE lang IN (SELECT lang FROM chosen)
 ), class_terms AS (
   SELECT n, i, p / NULLIF(SUM(p) OVER (PARTITION BY n), 0) AS p, q / NULLIF(SUM(q) OVER (PARTITION BY n), 0) AS q
   FROM (SELECT d.n, UNNEST(range({_N + 2})) AS i, UNNEST([{", ".join(f"d.c{i}" for i in range(_N + 2))}]) AS p,

@@ -3,13 +3,15 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scanloom.llm import mixing, packing, rules, sharding, shingles
 from scanloom.llm.common import settled
-from scanloom.llm.queries import read, word_tokenizer
+from scanloom.llm.queries import ORACLES, QUERIES, read, word_tokenizer
+from tests.compare import compare
 
 
 def jaccard_stays(texts, least=0.8):
@@ -159,6 +161,32 @@ def test_every_language_has_its_own_reference(spark):
     assert got[-1].class_distance is None and got[-1].word_distance is None and not got[-2].kept
 
 
+def test_sql_judges_many_languages_alike(spark, tmp_path):
+    """Seventy languages around the least number of words, one at it and one a word below, null and empty ones: SQL gives the same rows."""
+    rng = random.Random(9)
+    rows = []
+    for lang in range(70):
+        letters = "".join(chr(0x61 + (lang * 5 + k) % 26) for k in range(4))
+        common = [letters[:n] for n in (1, 2, 3, 4)]
+        words = rules.REFERENCE_WORDS + {0: 0, 1: -1}.get(lang, rng.choice([-3000, 400]))
+        while words > 0:
+            size = min(words, 250)
+            text = " ".join(rng.choice(common) if rng.random() < 0.6 else letters + str(rng.randrange(10**6)) for _ in range(size))
+            rows.append((len(rows), text, f"l{lang}"))
+            words -= size
+    junk = " ".join(f"%{k}#" for k in range(200))
+    # Junk adds words to its language, so it lies in languages far from the limit.
+    rows += [(10_000 + k, junk + f" {k}", lang) for k, lang in enumerate([None, "", "rare", "l5", "l6", "l7", "l8"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' source", "cast(length(text) as long) n_chars")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    outcome = compare(spark, con, "op7", QUERIES["op7_quality_rules"], ORACLES["op7_quality_rules"], str(tmp_path))
+    assert outcome is None, outcome
+    kept = {r.doc_id: r.kept for r in QUERIES["op7_quality_rules"](spark, str(tmp_path)).collect()}
+    assert kept[10_002] and not kept[10_000] and len(set(kept.values())) == 2
+
+
 def test_counts_beyond_the_limit_are_hypergeometric():
     """Small expected counts in more than 10**9 rows: the share of each count, and the extremes."""
     rng = np.random.default_rng(4)
