@@ -28,18 +28,17 @@ class MustBeText:
     """The field that voids a report if it is a number, a truth value or an object; the parser alone would take its text.
 
     ``document`` is the report's type with nothing but this field, as a variant; ``values`` takes it to an array beside that of
-    the findings; ``cleared`` gives a finding without the field. ``suspect`` is a coarse pattern for reports that have to be
-    looked at: no other is parsed a second time. A key may be written with escapes, so these are suspect as well.
+    the findings; ``text`` takes it from a finding as the parser read it, ``cleared`` gives a finding without it. Only a report
+    in which that text could stand for another value is parsed a second time.
     """
 
-    name: str
     document: str
     values: Callable[[Column], Column]
+    text: Callable[[Column], Column]
     cleared: Callable[[Column], Column]
 
-    @property
-    def suspect(self) -> str:
-        return rf'"{self.name}"\s*:\s*[-0-9tf{{]|\\u00'
+    def suspect(self, found: Column) -> Column:
+        return _any(found, lambda f: self.text(f).rlike(r"^(-?[0-9][0-9.eE+-]*$|true$|false$|\{)"))
 
     def checked(self, found: Column, text: Column) -> Column:
         """The findings, with the field null where it is no text; ``text`` is null for reports beyond suspicion."""
@@ -96,9 +95,9 @@ RULES = Dialect(
     | f["end"].isNull(),
     blank_is_error=True,
     must_be_text=MustBeText(
-        "severity",
         "STRUCT<results: ARRAY<STRUCT<extra: STRUCT<severity: VARIANT>>>>",
         lambda doc: F.transform(doc["results"], lambda f: f["extra"]["severity"]),
+        lambda f: f["extra"]["severity"],
         lambda f: f.withField("extra.severity", F.lit(None).cast("string")),
     ),
 )
@@ -111,9 +110,9 @@ SECRETS = Dialect(
     findings=lambda doc: doc,
     unusable=lambda f: f.isNull() | f["Secret"].isNull(),
     must_be_text=MustBeText(
-        "Secret",
         "ARRAY<STRUCT<Secret: VARIANT>>",
         lambda doc: F.transform(doc, lambda f: f["Secret"]),
+        lambda f: f["Secret"],
         lambda f: f.withField("Secret", F.lit(None).cast("string")),
     ),
     exit_code_counts=False,
@@ -158,7 +157,6 @@ POLICIES = Dialect(
     broken=lambda doc: _any(doc, lambda part: part.isNull()),
     body=_as_list,
     must_be_text=MustBeText(
-        "check_class",
         "ARRAY<STRUCT<results: STRUCT<failed_checks: ARRAY<STRUCT<check_class: VARIANT>>>>>",
         lambda doc: F.flatten(
             F.transform(
@@ -168,6 +166,7 @@ POLICIES = Dialect(
                 ),
             )
         ),
+        lambda f: f["check_class"],
         lambda f: f.withField("check_class", F.lit(None).cast("string")),
     ),
     lenient=_policy_lenient,
@@ -223,7 +222,6 @@ PACKAGES = Dialect(
     lenient=_package_lenient,
     bad_json_is_error=False,
     must_be_text=MustBeText(
-        "Severity",
         "STRUCT<Results: ARRAY<STRUCT<Vulnerabilities: ARRAY<STRUCT<Severity: VARIANT>>>>>",
         lambda doc: F.flatten(
             F.transform(
@@ -231,6 +229,7 @@ PACKAGES = Dialect(
                 lambda r: F.coalesce(F.transform(r["Vulnerabilities"], lambda v: v["Severity"]), F.array().cast("ARRAY<VARIANT>")),
             )
         ),
+        lambda f: f["vuln"]["Severity"],
         lambda f: f.withField("vuln.Severity", F.lit(None).cast("string")),
     ),
 )
@@ -268,7 +267,7 @@ def read_reports(reports: DataFrame, dialect: Dialect, mode: str = "strict") ->
         late = late.when(corrupt & ~js_trim(untyped["r"]).startswith("{"), "no_results")
     found = dialect.findings(doc)
     if dialect.must_be_text is not None:
-        suspect = ~corrupt & F.col("stdout").rlike(dialect.must_be_text.suspect)
+        suspect = ~corrupt & dialect.must_be_text.suspect(found)
         found = F.when(suspect, dialect.must_be_text.checked(found, F.when(suspect, dialect.body(F.col("stdout"))))).otherwise(found)
     if dialect.lenient is None:
         late = late.when(corrupt, "bad_type")
