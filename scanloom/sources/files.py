@@ -27,6 +27,20 @@ def outside(path: Column, skip_dirs: list[str]) -> Column:
     return ~F.arrays_overlap(folders, F.array(*[F.lit(s) for s in skip_dirs]).cast("array<string>"))
 
 
+#: How many files or directories a task is given, about.
+FILES_A_TASK = 5_000
+
+
+def _spread(names: DataFrame) -> DataFrame:
+    """Rows (root, path, …) dealt by name over tasks, as many as the rows ask for; a count of their own keeps them apart.
+
+    Opening or writing a file costs time and hardly any bytes: the size of splits, or of partitions that adaptive
+    execution puts together, would leave many files to one task.
+    """
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return names.repartition(max(tasks, -(-names.count() // FILES_A_TASK)), F.xxhash64("root", "path"))
+
+
 def walk_files(roots: DataFrame, skip_dirs: list[str] = (), budget: int = 20_000) -> DataFrame:
     """All regular files below each ``root``, as (root, path, size, modified), path relative.
 
@@ -78,8 +92,7 @@ def walk_files(roots: DataFrame, skip_dirs: list[str] = (), budget: int = 20_000
     found = None
     todo = roots.where(F.col("root").isNotNull()).select("root", F.lit("").alias("path"))
     while True:
-        spread = todo.repartition(F.xxhash64("root", "path"))
-        seen = checkpoint(spread.mapInPandas(listing, "root STRING, path STRING, size BIGINT, millis BIGINT, is_dir BOOLEAN"))
+        seen = checkpoint(_spread(todo).mapInPandas(listing, "root STRING, path STRING, size BIGINT, millis BIGINT, is_dir BOOLEAN"))
         files = seen.filter(~F.col("is_dir")).select("root", "path", "size", F.timestamp_millis("millis").alias("modified"))
         found = files if found is None else found.unionByName(files)
         todo = seen.filter("is_dir").select("root", "path")
@@ -123,7 +136,7 @@ def file_texts(files: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "content", "read_error"])
                     start, size, got = n + 1, 0, []
 
-    spread = files.select(*names).repartition(F.xxhash64("root", "path"))
+    spread = _spread(files.select(*names))
     shape = StructType([*spread.schema.fields, StructField("content", BinaryType()), StructField("read_error", StringType())])
     return spread.mapInArrow(reading, shape).select(*names, utf8_text(F.col("content")).alias("text"), "read_error")
 
@@ -131,7 +144,8 @@ def file_texts(files: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
 def write_files(files: DataFrame) -> int:
     """Write each row's ``text`` as ``path`` below ``root``, a folder that all executors have mounted; the number written.
 
-    A file appears whole under its name or not at all, so a task can be repeated. Null texts are not written.
+    A file appears whole under its name or not at all, so a task can be repeated. Null texts are not written. Files are
+    spread by name over all tasks, however few files or row groups their rows are stored in.
     """
 
     def writing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +159,7 @@ def write_files(files: DataFrame) -> int:
                 os.replace(part, target)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    rows = files.select("root", "path", "text").where(F.col("text").isNotNull())
+    rows = _spread(files.select("root", "path", "text")).where(F.col("text").isNotNull())
     return rows.mapInPandas(writing, "n BIGINT").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

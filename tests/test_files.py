@@ -84,3 +84,12 @@ def test_retention_is_strict(spark):
     now = F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))
     old = frame.filter(fs.expired(F.to_timestamp_ntz("t"), now)).collect()
     assert [r["t"] for r in old] == ["2024-01-01 10:59:59"]
+
+
+def test_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fs, "FILES_A_TASK", 10)
+    rows = [(str(tmp_path), f"a/{n}.txt", f"text {n}") for n in range(200)]
+    names = spark.createDataFrame(rows, "root string, path string, text string").coalesce(1)
+    assert fs._spread(names).rdd.getNumPartitions() >= 20
+    assert fs.write_files(names) == 200
+    assert fs.walk_files(spark.createDataFrame([(str(tmp_path),)], "root string")).count() == 200
