@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: Jaccard similarity 0.8 or more of five-word shingles."""
+    """One document of each group of near-duplicates: found by SimHash and MinHash, Jaccard 0.8 or more of five-word shingles."""
     return shingles.one_of_each(docs)
 
 

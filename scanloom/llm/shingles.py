@@ -1,4 +1,4 @@
-"""Near-duplicates by word shingles: MinHash bands find candidates, the shingle sets decide."""
+"""Near-duplicates by word shingles: SimHash fingerprints and MinHash bands find candidates, the shingle sets decide."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from scanloom.llm.common import settled
 from scanloom.llm.components import connected_components
+from scanloom.llm.simhash import MOST_BITS, fingerprint, fingerprint_links
 
 #: Jaccard similarity of the sets of word shingles from which two documents are near-duplicates.
 SIMILAR = 0.8
@@ -56,19 +57,20 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def _marked(numbered: DataFrame, shingle: int) -> DataFrame:
-    """Columns ``at``, ``name``, ``same`` (a hash of all words), ``keys`` for ``at``, ``name``, ``text``."""
+    """Columns ``at``, ``name``, ``same`` (a hash of all words), ``bits`` (SimHash), ``keys`` for ``at``, ``name``, ``text``."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, keys = [], []
+            same, bits, keys = [], [], []
             for text in batch.column(2):
                 found = words(text.as_py())
+                bits.append(fingerprint(text.as_py(), shingle))
                 same.append(xxhash.xxh3_128_digest(b" ".join(found)))
                 keys.append(bands(hashes(found, shingle)))
-            columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "name", "same", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(bits, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "name", "same", "bits", "keys"])
 
-    added = [StructField("same", BinaryType()), StructField("keys", ArrayType(LongType()))]
+    added = [StructField("same", BinaryType()), StructField("bits", LongType()), StructField("keys", ArrayType(LongType()))]
     return numbered.mapInArrow(apply, StructType([*numbered.select("at", "name").schema.fields, *added]))
 
 
@@ -143,11 +145,24 @@ def possible_pairs(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     return pairs.select(F.col("node").alias("u"), F.col("node_v").alias("v")).distinct()
 
 
+def near_pairs(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Columns ``u``, ``v``: the links of SimHash between ``nodes`` (node, bits), ``most`` differing bits at most.
+
+    Nodes with the same fingerprint are paired with the first of them, which stands for them in the links of ``simhash``.
+    """
+    first = settled(nodes.groupBy("bits").agg(F.min("node").alias("first")), "fingerprints")
+    equal = nodes.join(first, "bits").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    links = fingerprint_links(first.select("bits"), most)
+    named = [first.select(F.col("bits").alias(c), F.col("first").alias(f"first_{c}")) for c in ("u", "v")]
+    return equal.union(links.join(named[0], "u").join(named[1], "v").select("first_u", "first_v"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near-duplicates stays.
 
     Documents whose sets of shingles have Jaccard similarity ``least`` or more are linked, and links connect groups.
-    Rows with the same words are one node. Nodes that share a band of their MinHash are candidates; only
+    Rows with the same words are one node. Nodes that SimHash links, by fingerprints of ``MOST_BITS`` differing bits at most,
+    are candidates, and so are nodes that share a band of their MinHash, as pairs near ``least`` differ in more bits; only
     candidates similar on their whole sets are linked. In each band's bucket all members are compared with its most
     typical one first, which shares the most with others over all its bands. Where that leaves a bucket in several
     groups, all its members go through ``possible_pairs``, which leaves out only pairs that cannot be similar or are
@@ -161,8 +176,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> Da
     narrow = numbered.select("at", F.col("row.doc_id").alias("name"), F.col("row.text").cast("string").alias("text"))
     marked = settled(_marked(narrow, shingle), "marked")
     order = F.struct(F.col("name").isNull().alias("last"), "name", "at")
-    nodes = marked.groupBy("same").agg(F.min(order).alias("stays"), F.first("keys").alias("keys"))
-    nodes = settled(nodes.select("same", "stays", F.col("stays.at").alias("node"), "keys"), "nodes")
+    nodes = marked.groupBy("same").agg(F.min(order).alias("stays"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    nodes = settled(nodes.select("same", "stays", F.col("stays.at").alias("node"), "bits", "keys"), "nodes")
+    fingered = settled(near_pairs(nodes.select("node", "bits")), "near-pairs")
 
     entries = nodes.select(F.explode("keys").alias("key"), "node")
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -171,10 +187,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> Da
     typical = members.groupBy("node").agg(F.sum("n").alias("met"))
     best = members.select("key", "node").join(typical, "node").groupBy("key").agg(F.min(F.struct(-F.col("met"), "node")).alias("best"))
     members = settled(members.join(best.select("key", F.col("best.node").alias("centre")), "key"), "centred")
-    asked = settled(members.select("node").distinct(), "asked")
+    ends = [fingered.select(F.col(c).alias("node")) for c in ("u", "v")]
+    asked = settled(members.select("node").union(ends[0]).union(ends[1]).distinct(), "asked")
     sets = settled(_sets(narrow.join(asked, F.col("at") == F.col("node"), "left_semi"), shingle), "sets")
 
-    stars = settled(members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
+    stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    stars = settled(stars.union(fingered).distinct(), "stars")
     links = settled(_similar(stars, sets, least), "star-links")
     roots = settled(connected_components(links), "roots").withColumnRenamed("node", "of")
     grouped = members.where("n > 2").join(roots, F.col("node") == F.col("of"), "left")

@@ -196,3 +196,10 @@ def test_counts_beyond_the_limit_are_hypergeometric():
     assert sharding._hypergeometric(rng, 10, 2 * 10**9, 2 * 10**9 + 10) == 10
     large = [sharding._hypergeometric(rng, 10**9, 10**9, 10**8) for _ in range(200)]
     assert abs(np.mean(large) - 5 * 10**7) < 2000 and 4000 < np.std(large) < 5700
+
+
+def test_simhash_proposes_pairs(spark):
+    from scanloom.llm import shingles
+
+    nodes = spark.createDataFrame([(1, 0), (2, 0b11111), (3, 0b11111), (4, (1 << 40) - 1)], "node long, bits long")
+    assert {tuple(sorted(r)) for r in shingles.near_pairs(nodes).collect()} == {(1, 2), (2, 3)}
