@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scanloom.streaming import deliveries as dl
@@ -103,3 +104,36 @@ def test_replayed_counted_batch_changes_nothing(spark, tmp_path):
     again = spark.createDataFrame(kept.collect(), dl.COUNTED)
     b.job_run.process(again, 0)
     assert {n: b.rows(n, *c) for n, c in names.items()} == first
+
+
+class _State:
+    """As much of a group's state as ``_deliveries`` uses."""
+
+    hasTimedOut, watermark, get, exists, timeout = False, 0, None, False, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def test_a_call_serves_a_bucket_of_jobs():
+    of_bucket, state = dl._deliveries(2), _State()
+
+    def play(*rows):
+        frame = pd.DataFrame([(k, "1", None, "", closed, at) for k, closed, at in rows], columns=["job_key", *dl.UNCOUNTED, "closed", "millis"])
+        out = pd.concat(of_bucket((0,), iter([frame]), state))
+        return sorted(out[out["kind"] == dl.JOB][["job_key", "receives", "verdict"]].itertuples(index=False, name=None))
+
+    assert play(("a", "", 5), ("b", "", 7), ("b", "", 6), ("c", "true", 0)) == [("a", "1", dl.RUN), ("b", "2", dl.RUN)]
+    assert play(("b", "", 8), ("a", "true", 0), ("a", "", 5)) == [("a", "2", dl.FINISHED), ("b", "3", dl.DEAD)]
+    assert state.timeout == 4
+    state.watermark, state.hasTimedOut = 5, True
+    assert list(of_bucket((0,), iter(()), state)) == [] and state.get[0] == ["b"] and state.timeout == 7
