@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from scanloom.plans import streams as streams_plan
 from scanloom.session import fresh_path
 from scanloom.streaming import jobs as js
 from scanloom.streaming.awaited import awaited
@@ -72,3 +73,17 @@ def test_state_does_not_grow(streams):
     assert max(kept) <= 80
     rows, _ = streams([("end", [], 5000)], [("end", "x", 5000, "r")])
     assert len(rows) == 800 and sum(r[2] == "terminated" for r in rows) == 400
+
+
+def test_messages_come_in_rounds(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(streams_plan, "fresh_path", lambda *a: folders.append(fresh_path(*a)) or folders[-1])
+    jobs = spark.createDataFrame([(f"s{k}", ["x"], at(k * 60)) for k in range(9)] + [("n", ["x"], None)], JOBS)
+    reports = spark.createDataFrame([(f"s{k}", "x", at(k * 60 + 1), "r") for k in range(9)], REPORTS)
+    seen = []
+    for _ in streams_plan._rounds(jobs, reports, most=4):
+        inboxes = [spark.read.schema(df.schema).parquet(path) for df, path in zip((jobs, reports), folders[1::2])]
+        seen.append([r.select(c).where(f"{c} < '2100-01-01'").toPandas()[c].max() for r, c in zip(inboxes, ("asked_at", "arrived_at"))])
+    assert len(seen) == 3 and all(early[0] < late[0] and early[1] < late[1] for early, late in zip(seen, seen[1:]))
+    # All messages, the job without a time and the closing ones.
+    assert [r.count() for r in inboxes] == [11, 10]
