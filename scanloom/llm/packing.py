@@ -25,8 +25,12 @@ REMEMBERED = 250_000
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)\Z")
 
 
+#: Packers of up to 15 ids, made once: most words have few.
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
@@ -62,6 +66,8 @@ class WordIds(dict):
         return ids
 
     def _whole(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._part(word.lower())
         plain = _PLAIN.match(word)
         if plain is None:
             return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)

@@ -387,3 +387,10 @@ def test_pipeline_stages_keep_the_columns(spark, messy, empty):
             out = stage(spark, docs, "")
             assert out.columns == docs.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+@pytest.mark.parametrize("word", ["plain", "Words", "q" * 60])
+def test_plain_words_need_no_pattern(monkeypatch, word):
+    """Words of nothing but ASCII letters, most of a text, go to the tokenizer's model at once; the ids are those of the tokenizer."""
+    monkeypatch.setattr(packing, "_PLAIN", None)
+    assert list(np.frombuffer(packing.WordIds(word_tokenizer())[word.encode()], "<u4")) == token_ids(word)[:-1]
