@@ -67,6 +67,8 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(f"<u{id_width(path)}")
         self.pack = {2: "H", 4: "I"}[self.kind.itemsize]
+        # Packers of up to 15 ids, made once: most stretches have few.
+        self.packers = [struct.Struct(f"<{n}{self.pack}").pack for n in range(16)]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -75,7 +77,8 @@ class ChunkIds(dict):
     def __missing__(self, rest: str) -> bytes:
         ids = self.before.get(rest)
         if ids is None:
-            ids = self.chunk(" " + rest)
+            plain = rest.isascii() and rest.isalpha()
+            ids = self.part(" " + rest) if plain else self.chunk(" " + rest)
         self[rest] = ids
         return ids
 
@@ -106,8 +109,12 @@ class ChunkIds(dict):
         """Ids of what the tokenizer's rules never cut, by its model alone."""
         ids = self.parts.get(part)
         if ids is None:
-            found = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.shown))]
-            ids = self.parts[part] = struct.pack(f"<{len(found)}{self.pack}", *found)
+            # Letters and digits are shown as they are, the space in front of them as one mark.
+            plain = part.isascii() and part[1:].isalnum() and part[0] == " "
+            shown = self.shown[32] + part[1:] if plain else part.translate(self.shown)
+            found = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            pack = self.packers[len(found)] if len(found) < 16 else struct.Struct(f"<{len(found)}{self.pack}").pack
+            ids = self.parts[part] = pack(*found)
         return ids
 
     def forget(self) -> None:

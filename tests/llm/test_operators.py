@@ -394,3 +394,14 @@ def test_plain_words_need_no_pattern(monkeypatch, word):
     """Words of nothing but ASCII letters, most of a text, go to the tokenizer's model at once; the ids are those of the tokenizer."""
     monkeypatch.setattr(packing, "_PLAIN", None)
     assert list(np.frombuffer(packing.WordIds(word_tokenizer())[word.encode()], "<u4")) == token_ids(word)[:-1]
+
+
+@pytest.mark.parametrize("word", ["plain", "Words", "q" * 60])
+def test_plain_stretches_need_no_pattern(monkeypatch, word):
+    """The same for a space and the letters behind it in token files."""
+    from scanloom.llm import tokenfiles
+    from scanloom.llm.queries import byte_tokenizer
+
+    monkeypatch.setattr(tokenfiles, "_PLAIN", None)
+    stretches = tokenfiles.ChunkIds(byte_tokenizer())
+    assert stretches[word] == stretches.whole(f" {word}")
