@@ -269,3 +269,18 @@ def test_made_reports_have_each_number_and_root_once(spark):
     assert (text["scan_4"], text["scan_9"], text[None]) == ("nope", '{"Results":[{"Vulnerabilities":[{}]},{"Target":"none"}]}', "{}")
     plan = _plan(made)
     assert "regexp_replace" not in plan and plan.count("/tmp/scan/scan_") == 1
+
+
+def test_reports_are_chosen_before_their_texts_are_made(spark, tmp_path):
+    """The join with the wanted scans moves orders, not texts, and the rows are those of a join with all reports."""
+    from scanloom.sources import views
+
+    kinds = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING"
+    rows = [(k, 5 * k, "OFP"[k % 3], ["1-URGENT", "3-MEDIUM", "5-LOW"][k % 3]) for k in [*range(20), 3, 3]] + [(None, 1, "F", "1-URGENT")]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/orders.parquet")
+    wanted = spark.createDataFrame([("scan_3",), ("scan_3",), ("scan_5",), ("scan_99",), (None,), ("scan_16",)], "scan_id STRING")
+    every = views.reports(spark, str(tmp_path))
+    for tool, made in views.reports(spark, str(tmp_path), wanted=wanted).items():
+        got, want = (sorted(map(str, r.collect())) for r in (made, every[tool].join(wanted, "scan_id", "left_semi")))
+        assert got == want and len(got) >= 4
+        assert "StructsToJson" not in _plan(made).split("Join LeftSemi")[1]
