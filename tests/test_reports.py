@@ -284,3 +284,25 @@ def test_reports_are_chosen_before_their_texts_are_made(spark, tmp_path):
         got, want = (sorted(map(str, r.collect())) for r in (made, every[tool].join(wanted, "scan_id", "left_semi")))
         assert got == want and len(got) >= 4
         assert "StructsToJson" not in _plan(made).split("Join LeftSemi")[1]
+
+
+@pytest.mark.parametrize("tool", list(conform.REGISTRY))
+def test_made_texts_are_plain_pieces(spark, tool):
+    """No JSON writer and no lambda over findings; texts are JSON without nulls but in lists, also of orders without a customer."""
+    from scanloom.sources import views
+
+    kinds = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING"
+    rows = [(k, c, "F", "1-URGENT") for k in range(8) for c in (0, 97, 388, 389, 401, 1234, None)]
+    made = views.tool_reports(spark.createDataFrame(rows, kinds), tool)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "to_json" not in plan and "transform(" not in plan
+    rank = list(conform.REGISTRY).index(tool)
+    texts = [(int(r["scan_id"][5:]), r["stdout"]) for r in made.collect() if (int(r["scan_id"][5:]) + 2 * rank) % 4]
+    assert len(texts) == 42
+    for key, text in texts:
+        document = json.loads(text)
+        found = document if tool == "gitleaks" else document.get("Results", document.get("results")) if isinstance(document, dict) else document
+        if tool == "checkov":
+            found = (document if isinstance(document, dict) else document[0])["results"]["failed_checks"]
+        assert len(found) - (tool == "trivy") == (key + 2 * rank) % 4
+        assert json.dumps(document, separators=(",", ":")) == text
