@@ -246,6 +246,35 @@ def test_split_reports_follow_the_same_rules(spark):
     assert counts("quarantine") == {"hot": 900, "a": 1, "b": 1, "c": 1}
 
 
+def test_split_reports_are_parsed_once(spark):
+    """Both sides of the join that voids reports read stored findings: each text is met once, and the join moves what is counted only."""
+    good, bad = json.dumps(RULE), json.dumps(without(RULE, "start"))
+    texts = [("a", 0, good), ("a", 1, bad), ("a", 1, bad), ("b", 0, good), ("b", 0, good), ("b", None, good), ("c", 7, None)]
+    texts += [(None, 0, good), (None, 1, bad), ("d", 0, "[]"), ("d", 1, good), ("e", 0, without(RULE, "path")), ("f", 0, good)]
+    made = [(s, "semgrep", "/root", p, t if t is None or isinstance(t, str) else json.dumps(t)) for s, p, t in texts]
+    frame = spark.createDataFrame(made, "scan_id STRING, tool STRING, scan_root STRING, pos INT, finding STRING")
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    read = src.read_split(frame.mapInArrow(seen, frame.schema), src.RULES)
+    assert read.columns == ["scan_id", "tool", "scan_root", "pos", "f"]
+    # A report without a scan is no report: its findings meet no other.
+    kept = [(r["scan_id"], r["pos"], r["f"]["path"]) for r in read.collect()]
+    assert sorted(kept, key=str) == sorted(
+        [("b", 0, "/root/a.py")] * 2 + [("b", None, "/root/a.py"), (None, 0, "/root/a.py"), (None, 1, "/root/a.py"), ("e", 0, None), ("f", 0, "/root/a.py")],
+        key=str,
+    )
+    assert met.value == len(texts)
+    counted = conform.conform(read, conform.REGISTRY["semgrep"]).groupBy("scan_id", "severity").count()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("LeftAnti")[1]
+    assert "from_json" not in plan and "extra.severity" in below.split("FileScan")[0]
+
+
 @pytest.mark.parametrize("tool", list(conform.REGISTRY))
 def test_white_space_is_looked_for_in_front_only(spark, tool):
     """A trim of both ends walks through every report's whole text."""
