@@ -1,6 +1,9 @@
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import updates
+from scanloom.session import settings
 
 
 def scans(spark):
@@ -62,3 +65,69 @@ def test_log_applies_in_order(spark):
     later = updates.job_failure(spark.createDataFrame([("a",)], "scan_id STRING"), at).withColumn("run", F.lit(2))
     rows = updates.apply_log(scans, stored.unionByName(later), "run").collect()
     assert [tuple(r) for r in rows] == [("a", "failed", 3)]
+
+
+def issues(spark, n):
+    """Six of ten on one scan, the rest on 97 others, one of which has an issue without a path."""
+    number = F.col("id") % 97
+    scan = F.when(F.col("id") % 10 < 6, "hot").otherwise(F.concat(F.lit("s"), number))
+    rows = spark.range(0, n, 1, 8).select(
+        scan.alias("scan_id"), F.lit("gitleaks").alias("tool"), F.lit("high").alias("severity"),
+        F.md5(F.col("id").cast("string")).alias("title"), F.lit("d").alias("description"),
+        F.lit("f").alias("file_path"), F.lit(1).alias("line_start"), F.col("id").alias("pos"),
+    )
+    return rows.withColumn("file_path", F.when(F.col("scan_id") != "s7", F.col("file_path")))
+
+
+def files_of(folder):
+    """The scans of each file's rows, in their order."""
+    return [pq.ParquetFile(f).read(["scan_id"])["scan_id"].to_pylist() for f in sorted(folder.glob("*.parquet"))]
+
+
+def test_delivered_issues_are_shuffled_once(spark, tmp_path):
+    """Staged issues are judged and placed: neither reading nor delivering them shuffles or sorts them again."""
+    found = issues(spark, 20_000)
+    names = ["spark.sql.files.openCostInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(name) for name in names]
+    kept = updates.staged_issues(found, found.select("scan_id").distinct())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Join" not in plan
+    sc = spark.sparkContext
+    sc.setLocalProperty("spark.jobGroup.id", "deliveries")
+    try:
+        for _ in range(2):
+            updates.write_batch(kept, str(tmp_path), "1", placed=True)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(job) for job in sc.statusTracker().getJobIdsForGroup("deliveries")]
+    assert len(jobs) >= 2 and all(len(job.stageIds) == 1 for job in jobs)
+    assert [spark.conf.get(name) for name in names] == before
+
+    want = found.filter("scan_id <> 's7'")
+    got = updates.read_batches(spark, str(tmp_path)).select(want.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    files = files_of(tmp_path / "batch=1")
+    assert all(scans == sorted(scans) for scans in files)
+    # Every scan in one file.
+    assert sum(len(set(scans)) for scans in files) == len({scan for scans in files for scan in scans}) == 97
+
+
+def test_hot_scan_fills_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(updates, "SORTED_ROWS", 1000)
+    found = issues(spark, 60_000)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        kept = updates.staged_issues(found, found.select("scan_id").distinct())
+    updates.write_batch(kept, str(tmp_path), "1", placed=True)
+    files = files_of(tmp_path / "batch=1")
+    hot = [scans.count("hot") for scans in files if "hot" in scans]
+    assert len(hot) > 1 and sum(hot) == 36_000 and max(hot) < 18_000
+    assert all(scans == sorted(scans) for scans in files)
+    assert sum(map(len, files)) == found.filter("scan_id <> 's7'").count()
+
+
+def test_settings_return(spark):
+    unset = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    with pytest.raises(ZeroDivisionError), settings(spark, {"spark.sql.shuffle.partitions": "3", unset: "5"}):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3" and spark.conf.get(unset) == "5"
+        raise ZeroDivisionError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8" and spark.conf.get(unset, None) is None
