@@ -125,6 +125,20 @@ def test_hot_scan_fills_several_files(spark, tmp_path, monkeypatch):
     assert sum(map(len, files)) == found.filter("scan_id <> 's7'").count()
 
 
+def test_rounds_keep_every_issue(spark, tmp_path, monkeypatch):
+    """Many issues are shuffled in rounds: each scan belongs to one of them."""
+    monkeypatch.setattr(updates, "ROUND_ROWS", 3000)
+    found = issues(spark, 8000)
+    kept = updates.staged_issues(found, found.select("scan_id").distinct())
+    updates.write_batch(kept, str(tmp_path), "1", placed=True)
+    want = found.filter("scan_id <> 's7'")
+    got = updates.read_batches(spark, str(tmp_path)).select(want.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    files = files_of(tmp_path / "batch=1")
+    assert len(files) >= 3 and all(scans == sorted(scans) for scans in files)
+    assert sum(len(set(scans)) for scans in files) == 97
+
+
 def test_settings_return(spark):
     unset = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     with pytest.raises(ZeroDivisionError), settings(spark, {"spark.sql.shuffle.partitions": "3", unset: "5"}):
